@@ -48,3 +48,42 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """
 
 ORACLES = {"op3_url_filters": OP3, "op4_benchmark_decontamination": OP4}
+
+OP6 = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format(c="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), links AS (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS n FROM shingles x JOIN shingles y USING (s) WHERE x.r <> y.r GROUP BY x.r, y.r) p
+  JOIN sizes sa ON sa.r = a JOIN sizes sb ON sb.r = b WHERE 100 * p.n >= 75 * (sa.n + sb.n - p.n)
+), reach(a, b) AS (
+  SELECT r, r FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, g.component_id
+FROM docs d LEFT JOIN sizes s USING (r) JOIN (SELECT a AS r, min(t.doc_id) AS component_id FROM reach JOIN docs t ON t.r = reach.b GROUP BY a) g USING (r)
+"""
+
+OP8 = """
+WITH RECURSIVE vecs AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings
+), unit AS (
+  SELECT r, label, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS u FROM vecs
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
+    AND len(list_filter(e, lambda v: NOT isfinite(v))) = 0 AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT x.r AS a, y.r AS b FROM unit x JOIN unit y ON x.label = y.label AND x.r <> y.r AND len(x.u) = len(y.u) WHERE list_dot_product(x.u, y.u) >= 0.93
+), degree AS (
+  SELECT a AS r, count(*) AS n FROM links GROUP BY a
+), reach(a, b) AS (
+  SELECT r, r FROM vecs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a AS r, min(t.vec_id) AS component_id FROM reach JOIN vecs t ON t.r = reach.b GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM vecs LEFT JOIN degree USING (r) JOIN least USING (r)
+"""
+
+ORACLES |= {"op6_jaccard_join": OP6, "op8_embedding_dedup": OP8}

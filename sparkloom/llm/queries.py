@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontaminate, packing, quality, quotes, substring_dedup, suffix_dedup, url_filter, warc
+from sparkloom.llm import decontaminate, embedding_dedup, jaccard_join, packing, quality, quotes, substring_dedup, suffix_dedup, url_filter, warc
 from sparkloom.llm.common import table
 from sparkloom.llm.oracles import ORACLES
 
@@ -33,10 +33,18 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("headers", "mime", "date")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "start AS start_byte", "end AS end_byte")
@@ -54,7 +62,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_url_filters,
         op4_benchmark_decontamination,
         op5_warc_derivatives,
+        op6_jaccard_join,
         op7_packing,
+        op8_embedding_dedup,
         op9_substring_dedup,
         op10_quality_classifier,
     ]
