@@ -11,9 +11,8 @@ cut at powers of two (its binary digits), so no sequence needs padding.
 Each task packs what it reads: one map pass, no shuffle, memory bounded by MOST_OPEN
 windows.  sequence_id holds the task's number in its high bits.
 
-Tokenising goes through a cache of white-space separated chunks, exact because the
-tokenizer drops white space, matches no token across it, and composes or lower-cases
-nothing across it.
+Tokenising goes through a cache of the pieces that the tokenizer itself cuts a text
+into before it merges, so the ids are exactly its own.
 
 Defined results: a null text counts as empty and yields its END alone; repeated rows
 are packed each; a null doc_id stays null; extra columns are not read; an empty table
@@ -23,8 +22,12 @@ yields nothing.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 WIDTH = 4096
 END = 2
 MOST_OPEN = 256
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -45,30 +48,72 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _pieces(last: int = 0x250):
+    """Pattern of the tokenizer's pieces in lower-cased text of code points below last, from their categories."""
+    kinds: dict[str, list[str]] = {"L": [], "N": [], "space": []}
+    for code in range(last):
+        c = chr(code)
+        kind = "space" if c in "\t\n\v\f\r \x85\xa0" else unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind].append(re.escape(c))
+    letter, digit, space = ("".join(kinds[k]) for k in ("L", "N", "space"))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+")
+
+
+PIECES = _pieces()
+PLAIN = re.compile(r"[\x00-\u024f]*\Z")
+
+
 class ChunkTokenizer:
-    """Token ids, as little-endian 32-bit bytes, by cached chunks between blanks and line feeds."""
+    """Token ids, as little-endian 32-bit bytes, from cached encodings of parts of a text.
+
+    Texts of code points below U+0250 (no character there composes with another) are
+    lower-cased and cut into the tokenizer's own pieces; others are cut at blanks and
+    line feeds only.  Texts that hold a special token's name go to the tokenizer whole.
+    The cache has two generations of ``entries`` parts each.
+    """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.entries, self.cache = Tokenizer.from_file(path), entries, {"": b""}
+        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
+        self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
+        if "<|" in text:
+            return self._ids(self.tokenizer.encode(text, add_special_tokens=False))
+        parts = PIECES.findall(text.lower()) if text.isascii() or PLAIN.match(text) else text.replace("\n", " ").split(" ")
         cache = self.cache
         try:
-            return b"".join([cache[c] for c in chunks])
+            return b"".join([cache[c] for c in parts])
         except KeyError:
             pass
-        missing = list({c for c in chunks if c not in cache})
+        missing = {c for c in parts if c not in cache}
         if len(cache) + len(missing) > self.entries:
-            cache.clear()
-            cache[""] = b""
-            missing = list({*chunks} - {""})
-        for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[c] for c in chunks])
+            self.older, self.cache = cache, {"": b""}
+            cache, missing = self.cache, {*parts} - {""}
+        new = []
+        for c in missing:
+            held = self.older.get(c)
+            if held is None:
+                new.append(c)
+            else:
+                cache[c] = held
+        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            cache[c] = self._ids(e)
+        return b"".join([cache[c] for c in parts])
+
+    @staticmethod
+    def _ids(encoding) -> bytes:
+        return array("I", encoding.ids).tobytes()
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> ChunkTokenizer:
+    """One for all tasks of a worker process."""
+    return ChunkTokenizer(path)
 
 
 class Packer:
@@ -157,7 +202,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, en
     path = tokenizer or default_tokenizer()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rows = ChunkTokenizer(path), []
+        encode, rows = tokenizer_of(path), []
         packer = Packer(TaskContext.get().partitionId() << 40, rows.append, width)
         tail = np.array([end], "<u4").tobytes()
 
