@@ -16,15 +16,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_SCHEMA = "bucket int, payload binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimiser knows of the size of df; for files, their bytes."""
+    """What the optimiser knows of the size of df (for files, their bytes), or else the bytes of its texts, counted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    if size < 1 << 50:
+        return size
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+    return int(sum(df.agg(F.count("*"), *texts).first()))
 
 
 def bucket_count(df: DataFrame, each: int = 2 << 20, least: int = 32) -> int:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import blocks
-from sparkloom.llm.common import written
+from sparkloom.llm.common import discard, fresh, written
 from sparkloom.llm.components import components
 from sparkloom.llm.kernels import SPACED, Words, group_starts, mix64, ranges, runs, seeds, slices, string_buffers
 from sparkloom.llm.spans import NULL_ID, keyed
@@ -153,29 +153,26 @@ def _band_signatures(gram, bound, ids, part, band, n, agree, paired):
     return value[row, col], ids[part][row], spare[row].astype(np.uint8)
 
 
-def needed(size: np.ndarray, bound: np.ndarray, gram: np.ndarray) -> list[bytes]:
-    """For each set, by band from its first: the signatures a linked partner shares at least."""
+def needed(size: np.ndarray, bound: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First band of each set, and, by band from there, how many signatures a linked partner shares at least."""
     first, last = bands(size)
-    out = []
-    for i, s in enumerate(size):
-        if not s:
-            out.append(b"")
+    out = np.ones((len(size), 4), np.int64)
+    for band in range(int(first[size > 0].min(initial=1 << 30)), int(last[size > 0].max(initial=-1)) + 1):
+        k, n, agree, paired = shape(band)
+        if band == 0 or k < 1 or paired:
             continue
-        own = []
-        f = gram[bound[i] : bound[i + 1]]
-        for band in range(int(first[i]), int(last[i]) + 1):
-            k, n, agree, paired = shape(band)
-            if band == 0 or k < 1:
-                own.append(0)
-                continue
-            if paired:
-                own.append(1)
-                continue
-            mixed = mix64(f ^ seeds(1, 5000 + band)[0])
-            used = len(np.unique(blocks.bucket_of(mixed, n)))
-            own.append(max(1, agree - min(agree - 1, n - used)))
-        out.append(np.array([first[i], *own], "<u4").tobytes())
-    return out
+        own = np.flatnonzero((size > 0) & (first <= band) & (band <= last))
+        step = max(1, (1 << 22) // n)
+        for lo in range(0, len(own), step):
+            part = own[lo : lo + step]
+            count = bound[part + 1] - bound[part]
+            mixed = mix64(gram[ranges(bound[part], count)] ^ seeds(1, 5000 + band)[0])
+            cell = np.repeat(np.arange(len(part)) * n, count) + blocks.bucket_of(mixed, n).astype(np.int64)
+            held = np.zeros(len(part) * n, bool)
+            held[cell] = True
+            empty = n - held.reshape(len(part), n).sum(axis=1)
+            out[part, band - first[part]] = np.maximum(1, agree - np.minimum(agree - 1, empty))
+    return first, out
 
 
 def _sign(n_buckets: int):
@@ -205,17 +202,27 @@ def _sign(n_buckets: int):
     return kernel
 
 
+SET_SCHEMA = "doc_id bigint, text_hash bigint, set_id bigint, n bigint, band bigint, need array<bigint>"
+
+
 def _set_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = string_buffers(batch.column(1))
-        ids, sizes = [], []
         for lo, hi in slices(offsets):
             gram, bound = sets_of(raw, offsets, lo, hi)
-            ids.append(set_ids(gram, bound))
-            sizes.append(np.diff(bound))
-        held = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held.view(np.int64)), pa.array(size.astype(np.int64))], names=["doc_id", "text_hash", "set_id", "n"])
+            size = np.diff(bound)
+            first, need = needed(size, bound, gram)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(lo, hi - lo),
+                    batch.column(2).slice(lo, hi - lo),
+                    pa.array(set_ids(gram, bound).view(np.int64)),
+                    pa.array(size.astype(np.int64)),
+                    pa.array(first.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * need.shape[1]), pa.array(need.ravel())),
+                ],
+                names=["doc_id", "text_hash", "set_id", "n", "band", "need"],
+            )
 
 
 def _groups(low: np.ndarray, high: np.ndarray, own: np.ndarray):
@@ -252,7 +259,7 @@ def _pair_bucket(x, y, n):
     return blocks.bucket_of(mix64(x * np.uint64(3) ^ mix64(y)), n)
 
 
-def _match(n_buckets: int):
+def _match(n_buckets: int, small: int):
     """Pairs of small groups, and members of large ones (marked by odd buckets)."""
 
     def reducer(bucket: int, e: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -262,11 +269,11 @@ def _match(n_buckets: int):
         e, sig = e[once], sig[once]
         begin = group_starts(sig)
         size = np.diff(np.r_[begin, len(e)])
-        few = (size > 1) & (size <= SMALL)
+        few = (size > 1) & (size <= small)
         pairs = _counted(*_pairs_of(np.ascontiguousarray(e["set"]), begin[few], size[few]))
         if len(pairs):
             yield blocks.pack(_pair_bucket(pairs["x"], pairs["y"], n_buckets) * np.uint64(2), pairs)
-        many = size > SMALL
+        many = size > small
         if many.any():
             at = ranges(begin[many], size[many])
             out = np.empty(len(at), HOT)
@@ -328,32 +335,13 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = string_buffers(batch.column(1))
         for lo, hi in slices(offsets):
             gram, bound = sets_of(raw, offsets, lo, hi)
-            size = np.diff(bound)
             data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((bound * 8).astype(np.int32)), pa.py_buffer(gram)])
-            need = pa.array(needed(size, bound, gram), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), data, need], names=["set_id", "n", "grams", "need"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), data], names=["set_id", "grams"])
 
 
-def _need_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _fetch(batches):
-        yield batch.select(["set_id", "n", "need"])
-
-
-def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes fit and whose shared signatures can suffice."""
-    for batch in batches:
-        nx, ny, n = (batch.column(c).to_numpy() for c in ("nx", "ny", "n"))
-        hot = np.minimum(batch.column("hx").to_numpy(), batch.column("hy").to_numpy())
-        low, high = np.minimum(nx, ny), np.maximum(nx, ny)
-        keep = 100 * low >= SHARE * high
-        band = np.searchsorted(BOUNDS, nx + ny)
-        for i in np.flatnonzero(keep):
-            for side in ("needx", "needy"):
-                own = np.frombuffer(batch.column(side)[int(i)].as_py(), "<u4")
-                at = int(band[i]) - int(own[0])
-                if 0 <= at < len(own) - 1 and n[i] + hot[i] < own[1 + at]:
-                    keep[i] = False
-        yield batch.filter(pa.array(keep)).select(["x", "y"])
+def _bands_column(t):
+    """Band of a sum of sizes, as a Column."""
+    return F.size(F.filter(F.array(*(F.lit(int(b)) for b in BOUNDS)), lambda b: b < t))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,59 +362,59 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sx, "x").join(sy, "y").select("x", "y", "gx", "gy").mapInArrow(_verify, "x bigint, y bigint")
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id (null for the null id's sake as NULL_ID) of every row."""
-    spark = docs.sparkSession
+def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
+    """doc_id (the null id as NULL_ID), text_hash, n_shingles, component_id of every row."""
     n_buckets, parts = blocks.bucket_count(docs), blocks.partition_count(docs)
     rows = keyed(docs)
-    table = written(rows.mapInArrow(_set_table, "doc_id bigint, text_hash bigint, set_id bigint, n bigint"), "sets")
-    found = blocks.reduce_blocks(rows.mapInArrow(_sign(n_buckets), blocks.BLOCK_SCHEMA), parts, ENTRY, _match(n_buckets), blocks.BLOCK_SCHEMA)
+    found = blocks.reduce_blocks(rows.mapInArrow(_sign(n_buckets), blocks.BLOCK_SCHEMA), parts, ENTRY, _match(n_buckets, small), blocks.BLOCK_SCHEMA)
     found = written(found, "matches")
-    spark.sparkContext._jvm.System.gc()  # the signatures' shuffle files are of no more use
-    pairs = written(blocks.reduce_blocks(found.where("bucket % 2 = 0"), parts, PAIR, _sum_pairs, "x bigint, y bigint, n bigint"), "pairs")
+    discard()
+    table = written(rows.mapInArrow(_set_table, SET_SCHEMA), "sets")
     hot = found.where("bucket % 2 = 1")
-    hot_counts = blocks.reduce_blocks(hot, parts, HOT, _hot_counts, "set_id bigint, hot bigint")
+    hot_counts = written(blocks.reduce_blocks(hot, parts, HOT, _hot_counts, "set_id bigint, hot bigint"), "hot-counts")
     cooled = written(blocks.reduce_blocks(hot, parts, HOT, _cool(n_buckets), blocks.BLOCK_SCHEMA), "frequent")
     stars = blocks.reduce_blocks(cooled, parts, MEMBER, _starred, "x bigint, y bigint")
     members = blocks.reduce_blocks(cooled, parts, MEMBER, _members, "sig bigint, set_id bigint")
 
+    # pairs whose sizes fit and whose shared signatures, were all frequent ones among them, can suffice
+    sets = table.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.first("band").alias("band"), F.first("need").alias("need"))
+    sets = written(sets.join(hot_counts, "set_id", "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "distinct-sets")
+    side = lambda c: sets.select(F.col("set_id").alias(c), *(F.col(x).alias(x + c) for x in ("n", "band", "need", "hot")))
+    pairs = blocks.reduce_blocks(found.where("bucket % 2 = 0"), parts, PAIR, _sum_pairs, "x bigint, y bigint, n bigint")
+    sized = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(nx, ny) >= {SHARE} * greatest(nx, ny)")
+    band = _bands_column(F.col("nx") + F.col("ny"))
+    reach = F.col("n") + F.least("hotx", "hoty")
+    enough = lambda c: reach >= F.coalesce(F.get(f"need{c}", F.col("__band") - F.col(f"band{c}")), F.lit(1))
+    likely = sized.withColumn("__band", band).where(enough("x") & enough("y")).select("x", "y")
+    likely = written(likely.union(stars).distinct(), "likely")
+    discard(found, hot_counts)
+
     # one document stands for each set that is a candidate
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).union(members.select("set_id")).distinct()
-    chosen = table.where("n > 0").join(wanted, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    chosen = chosen.select("set_id", F.col("d.doc_id").alias("c_doc"), F.col("d.text_hash").alias("c_hash"))
+    wanted = likely.select(F.explode(F.array("x", "y")).alias("set_id")).union(members.select("set_id")).distinct()
+    chosen = sets.join(wanted, "set_id").select("set_id", F.col("d.doc_id").alias("c_doc"), F.col("d.text_hash").alias("c_hash"))
     texts = rows.join(chosen, (F.col("doc_id") == F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash"))).select("set_id", "text")
-    sets = texts.mapInArrow(_fetch, "set_id bigint, n bigint, grams binary, need binary").dropDuplicates(["set_id"])
-    sets = written(sets, "candidate-sets")
-    small = sets.select("set_id", "n", "need").join(hot_counts, "set_id", "left").select("set_id", "n", "need", F.coalesce("hot", F.lit(0)).cast("bigint").alias("hot"))
-    side = lambda c: small.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("need").alias(f"need{c}"), F.col("hot").alias(f"h{c}"))
-    likely = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_reaches, "x bigint, y bigint")
-    links = written(_verified(likely.union(stars).distinct(), sets), "links")
-
+    grams = written(texts.dropDuplicates(["set_id"]).mapInArrow(_fetch, "set_id bigint, grams binary"), "candidate-sets")
+    links = written(_verified(likely, grams), "links")
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
     # frequent signatures whose members fell into several components: across those
-    placed = members.join(roots, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("root", "set_id").alias("root"))
-    placed = written(placed, "placed")
+    placed = written(members.join(roots, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("root", "set_id").alias("root")), "placed")
     split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     open_ = placed.join(split, "sig")
     tally = open_.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    odd = open_.join(tally, "sig").where("root <> main").select("sig", F.col("set_id").alias("x"), F.col("root").alias("rx"))
+    sizes = sets.select("set_id", "n")
+    open_ = open_.join(sizes, "set_id")
+    odd = open_.join(tally, "sig").where("root <> main").select("sig", F.col("set_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
     across = (
-        odd.join(open_.select("sig", F.col("set_id").alias("y"), F.col("root").alias("ry")), "sig")
-        .where("rx <> ry")
+        odd.join(open_.select("sig", F.col("set_id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny")), "sig")
+        .where(f"rx <> ry AND 100 * least(nx, ny) >= {SHARE} * greatest(nx, ny)")
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )
-    sizes = sets.select("set_id", "n")
-    across = (
-        across.join(sizes.select(F.col("set_id").alias("x"), F.col("n").alias("nx")), "x")
-        .join(sizes.select(F.col("set_id").alias("y"), F.col("n").alias("ny")), "y")
-        .where(f"100 * least(nx, ny) >= {SHARE} * greatest(nx, ny)")
-        .select("x", "y")
-    )
-    more = written(_verified(across, sets), "links")
+    more = written(_verified(across, grams), "links")
+    discard(grams, likely, placed, cooled)
     if not more.isEmpty():
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("x", "y"))
-        roots = components(edges)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("x", "y")))
     rooted = table.join(roots, F.col("set_id") == F.col("node"), "left").select("doc_id", "text_hash", "n", F.coalesce("root", "set_id").alias("root"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select(
@@ -434,10 +422,10 @@ def joined(docs: DataFrame) -> DataFrame:
     )
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return joined(docs).select(null("doc_id"), "n_shingles", null("component_id"))
+    return joined(docs, small).select(null("doc_id"), "n_shingles", null("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -445,8 +433,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     groups = joined(docs)
     keep = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
     lone = groups.where("n_shingles = 0").select("doc_id", "text_hash").distinct()
-    chosen = keep.union(lone).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
-    named = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "__hash": F.xxhash64("text")})
-    kept = named.join(chosen, (F.col("__doc") == F.col("__d")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    # rows repeated as a whole are copies of each other
-    return kept.dropDuplicates(["__doc", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, held, d, h = (fresh(docs, n) for n in ("__doc", "__hash", "__d", "__h"))
+    chosen = keep.union(lone).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
+    named = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), held: F.xxhash64("text")})
+    kept = named.join(chosen, (F.col(doc) == F.col(d)) & (F.col(held) == F.col(h)), "left_semi")
+    # rows alike in doc_id and text are copies of each other
+    return kept.dropDuplicates([doc, held]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_rows)
     )
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("__id")).select("text", F.col("__quality").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("__id")).select("text", F.col("__quality").alias("label"))
     held = rows.mapInArrow(_featurise, "label int, idx binary, val binary").collect()
     held.sort(key=lambda r: (bytes(r["idx"]), r["label"]))  # the order of learning doesn't depend on the partitions
     model, top = Ftrl(), 1 << BITS

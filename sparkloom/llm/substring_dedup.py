@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import blocks, spans
+from sparkloom.llm.common import fresh
 from sparkloom.llm.kernels import ALNUM, Words, group_starts, mix64, runs, seeds, slices, string_buffers
 
 RUN = 3
@@ -130,32 +131,33 @@ def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
 
     All columns stay; n_chars, where there is one, is counted anew for changed texts.
     """
-    cuts = (
+    cuts, doc, held, key, own, new = (fresh(docs, n) for n in ("__cuts", "__doc", "__hash", "__key", "__own", "__new"))
+    found = (
         repeated_spans(docs, run, min_words)
         .groupBy("doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-        .select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__cuts")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
+        .select(F.col("doc_id").alias(doc), F.col("text_hash").alias(held), cuts)
     )
-    keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(spans.NULL_ID)), "__own": F.xxhash64("text")})
-    joined = keyed.join(cuts, (F.col("__key") == F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(spans.NULL_ID)), own: F.xxhash64("text")})
+    joined = keyed.join(found, (F.col(key) == F.col(doc)) & (F.col(own) == F.col(held)), "left")
     raw = F.encode("text", "UTF-8")
     # what lies between the cuts, joined again
     kept = F.aggregate(
-        "__cuts",
+        cuts,
         F.struct(F.lit(1).cast("bigint").alias("at"), F.encode(F.lit(""), "UTF-8").alias("out")),
         lambda a, c: F.struct(
             (c["end"] + 1).alias("at"), F.concat(a["out"], F.substring(raw, a["at"].cast("int"), (c["start"] + 1 - a["at"]).cast("int"))).alias("out")
         ),
         lambda a: F.decode(F.concat(a["out"], F.substring(raw, a["at"].cast("int"), F.lit(2147483647))), "UTF-8"),
     )
-    text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("__new", text).where(F.col("__cuts").isNull() | (F.length(F.trim(F.regexp_replace("__new", r"\s+", " "))) > 0))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept)
+    out = joined.withColumn(new, text).where(F.col(cuts).isNull() | (F.length(F.trim(F.regexp_replace(new, r"\s+", " "))) > 0))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("__new").alias("text"))
+            columns.append(F.col(new).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType)).alias("n_chars"))
+            columns.append(F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType)).alias("n_chars"))
         else:
             columns.append(F.col(f"`{c}`"))
     return out.select(*columns)
