@@ -34,12 +34,8 @@ def floating(c: Column) -> Column:
     c = cell(c)
     plain = F.when(c.rlike(FLOAT), F.regexp_replace(c, "_", "").try_cast("double"))
     lower = F.lower(c)
-    special = (
-        F.when(~c.rlike(NOT_FINITE), None)
-        .when(lower.endswith("nan"), F.lit(float("nan")))
-        .when(lower.startswith("-"), F.lit(float("-inf")))
-        .otherwise(F.lit(float("inf")))
-    )
+    value = F.when(lower.endswith("nan"), F.lit(float("nan"))).when(lower.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    special = F.when(c.rlike(NOT_FINITE), value)
     return F.coalesce(plain, special)
 
 

@@ -92,7 +92,7 @@ def dataset_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     out: dict[str, DataFrame] = {}
     for p in _children(spark, folder):
         kind = p.rstrip("/").rsplit(".", 1)[-1].lower()
-        if kind not in ("csv", "json", "parquet") or stem(p) in ("profile", "validation_report", "generation_manifest"):
+        if kind not in ("csv", "json", "parquet") or stem(p) in ("profile", "validation_report") or p.endswith("manifest.json"):
             continue
         if stem(p) in out:
             raise SpecError(f"two files hold {stem(p)}")
