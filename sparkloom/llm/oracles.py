@@ -87,3 +87,107 @@ FROM vecs LEFT JOIN degree USING (r) JOIN least USING (r)
 """
 
 ORACLES |= {"op6_jaccard_join": OP6, "op8_embedding_dedup": OP8}
+
+OP1 = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format(c="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 50), ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM docs WHERE len(w) >= 50)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i + 50) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM later
+), spans AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked
+)
+SELECT doc_id, min(i) AS start_word, max(i) + 50 AS end_word, max(i) + 50 - min(i) AS n_words FROM spans GROUP BY doc_id, g
+"""
+
+OP2 = r"""
+WITH msgs AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), lines AS (
+  SELECT r, conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i, regexp_matches(text, '(?m)^[ \t]*>') AS q FROM msgs
+), levels AS (
+  SELECT r, conv_id, turn, i, CASE WHEN q THEN length(regexp_replace(regexp_extract(l, '^((?:[ \t]*>)*)[ \t]?', 1), '[^>]', '', 'g')) ELSE 0 END AS lv,
+         CASE WHEN q THEN regexp_replace(l, '^((?:[ \t]*>)*)[ \t]?', '') ELSE l END AS body FROM lines
+), runs AS (
+  SELECT *, i - row_number() OVER (PARTITION BY r, lv ORDER BY i) AS g FROM levels
+), parts AS (
+  SELECT r, conv_id, turn, lv, min(i) AS place, string_agg(body, chr(10) ORDER BY i) AS body FROM runs GROUP BY r, conv_id, turn, lv, g
+), normal AS (
+  SELECT *, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g')) AS norm FROM parts
+), quoted AS (SELECT * FROM normal WHERE lv > 0 AND length(norm) >= 8
+), originals AS (SELECT DISTINCT conv_id, turn, norm FROM normal WHERE lv = 0 AND length(norm) >= 8
+), inside AS (
+  SELECT q.r, q.lv, max(o.turn) AS found FROM quoted q JOIN originals o ON o.norm = q.norm AND o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.turn < q.turn GROUP BY q.r, q.lv, q.place
+), parent AS (SELECT r, found FROM (SELECT r, found, row_number() OVER (PARTITION BY r ORDER BY lv, found DESC) AS k FROM inside) WHERE k = 1
+), firsts AS (SELECT norm, min(conv_id) AS o_conv FROM originals GROUP BY norm
+), foreign_ AS (SELECT q.r, min(o_conv) AS f FROM quoted q JOIN firsts USING (norm) WHERE o_conv IS DISTINCT FROM q.conv_id GROUP BY q.r
+), own AS (
+  SELECT r, trim(string_agg(trim(body, ' ' || chr(10)), chr(10) ORDER BY place) FILTER (lv = 0), ' ' || chr(10)) AS text, count(*) FILTER (lv > 0) AS n_quoted, max(lv) AS max_level FROM parts GROUP BY r
+)
+SELECT m.conv_id, m.turn, m.role, coalesce(o.text, '') AS text, o.n_quoted, o.max_level::BIGINT AS max_level,
+       coalesce(p.found, lag(m.turn) OVER w) AS parent_turn, p.found IS NOT NULL AS linked, CASE WHEN p.found IS NULL THEN x.f END AS foreign_conv, row_number() OVER w AS position
+FROM msgs m JOIN own o USING (r) LEFT JOIN parent p USING (r) LEFT JOIN foreign_ x USING (r)
+WINDOW w AS (PARTITION BY m.conv_id ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, o.text NULLS FIRST, r)
+"""
+
+_UUID = "'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
+_TEXT = r"""trim(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(payload,
+      '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'g'),
+      '(?i)</(?:p|div|li|tr|h[1-6]|section|article|table|ul|ol|title)\s*>|<br\s*/?>', chr(10), 'g'),
+      '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'),
+  '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"""
+
+OP5 = rf"""
+WITH pages_ AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
+), keyed AS (
+  SELECT *, sha256(payload) AS digest, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || target_uri || '|' || sha256(payload)) AS k FROM pages_
+), records AS (
+  SELECT *, {_UUID.format(h="k")} AS response_id FROM keyed
+), both_ AS (
+  SELECT page_id, response_id, target_uri, digest, 'metadata' AS kind,
+         to_json({{'title': regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), 'lang': regexp_extract(payload, '(?i)<html[^>]*\blang="([^"]*)"', 1),
+                  'links': regexp_extract_all(payload, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1),
+                  'source_headers': 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload),
+                  'source_digest': 'sha256:' || digest}})::VARCHAR AS block FROM records
+  UNION ALL SELECT page_id, response_id, target_uri, digest, 'conversion', {_TEXT} FROM records
+)
+SELECT page_id, kind, {_UUID.format(h="md5(kind || '|' || response_id)")} AS record_id, response_id AS refers_to, target_uri, 'sha256:' || digest AS source_digest,
+       'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block FROM both_
+"""
+
+OP9 = rf"""
+WITH pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+    SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t\r\n\x0b\x0c])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS p FROM documents)
+), placed AS (
+  SELECT doc_id, piece, i, coalesce(sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+         {_WORDS.format(low=_LOWER.format(c="piece"))} AS w FROM pieces
+), sentences AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s, array_to_string(w, ' ') AS words, len(w) AS n, base + strlen(piece) AS b,
+         base + strlen(piece) - strlen(regexp_replace(piece, '^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', '')) AS a
+  FROM placed WHERE len(w) > 0
+), ahead AS (
+  SELECT *, lead(words) OVER o AS w2, lead(words, 2) OVER o AS w3, lead(n) OVER o AS n2, lead(n, 2) OVER o AS n3, lead(b) OVER o AS b2, lead(b, 2) OVER o AS b3
+  FROM sentences WINDOW o AS (PARTITION BY doc_id ORDER BY s)
+), runs AS (
+  SELECT doc_id, a, b3 AS b, words || '|' || w2 || '|' || w3 AS k FROM ahead WHERE w3 IS NOT NULL AND n + n2 + n3 >= 10
+  UNION ALL SELECT doc_id, a, b2, words || '|' || w2 FROM ahead WHERE w2 IS NOT NULL AND n + n2 >= 40
+  UNION ALL SELECT doc_id, a, b, words FROM ahead WHERE n >= 40
+), later AS (
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, a) AS r FROM runs) WHERE r > 1
+), marked AS (
+  SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM later
+), spans AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b) AS g FROM marked
+)
+SELECT doc_id, min(a)::BIGINT AS start_byte, max(b)::BIGINT AS end_byte FROM spans GROUP BY doc_id, g
+"""
+
+ORACLES |= {"op1_suffix_array_dedup": OP1, "op2_quotation_linking": OP2, "op5_warc_derivatives": OP5, "op9_substring_dedup": OP9}

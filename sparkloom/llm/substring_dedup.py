@@ -7,7 +7,8 @@ occur more than once anywhere are joined on the hash; each occurrence but the fi
 A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line break;
 its words are compared lower-cased (A-Z) without punctuation.  Sentences without a
 word don't count.  A run of fewer than ``min_words`` words is too common to be a
-copy and is left alone.
+copy and is left alone; fewer than ``run`` sentences are a run too if they hold
+LONG words, so that a long passage of one or two sentences is found.
 
 Scale: one map pass ships 32 bytes for each sentence.  Runs repeated within a slice
 of 4 MB are settled there and only their first is compared globally, so that a
@@ -34,6 +35,7 @@ from sparkloom.llm.kernels import ALNUM, Words, group_starts, mix64, runs, seeds
 
 RUN = 3
 MIN_WORDS = 10
+LONG = 40
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<u8"), ("start", "<u4"), ("end", "<u4"), ("known", "u1")])
 
 _STOP = np.zeros(256, bool)
@@ -79,18 +81,20 @@ def _map(run: int, min_words: int, n_buckets: int):
             raw, offsets = string_buffers(batch.column(1))
             for lo, hi in slices(offsets):
                 row, value, words, start, end = sentences(raw, offsets, lo, hi)
-                n = len(row) - run + 1
-                if n <= 0:
-                    continue
-                key = runs(value, run)
                 total = np.r_[0, np.cumsum(words)]
-                good = (row[:n] == row[run - 1 :]) & (total[run:] - total[:-run] >= min_words)
-                at = np.flatnonzero(good)
-                if not len(at):
+                found = []
+                for k in range(1, run + 1):
+                    n = len(row) - k + 1
+                    if n <= 0:
+                        break
+                    at = np.flatnonzero((row[:n] == row[k - 1 :]) & (total[k:] - total[:-k] >= (min_words if k == run else LONG)))
+                    part = np.empty(len(at), ENTRY)
+                    part["key"], part["doc"], part["text"] = runs(value, k, k)[at], doc[lo + row[at]], text[lo + row[at]]
+                    part["start"], part["end"], part["known"] = start[at], end[at + k - 1], 0
+                    found.append(part)
+                out = np.concatenate(found) if found else np.empty(0, ENTRY)
+                if not len(out):
                     continue
-                out = np.empty(len(at), ENTRY)
-                out["key"], out["doc"], out["text"] = key[at], doc[lo + row[at]], text[lo + row[at]]
-                out["start"], out["end"], out["known"] = start[at], end[at + run - 1], 0
                 out, later = _later(out)
                 out["known"] = later
                 bucket = np.where(later, spans.doc_bucket(out["doc"], out["text"], n_buckets), blocks.bucket_of(out["key"], n_buckets))

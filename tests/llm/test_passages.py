@@ -86,6 +86,8 @@ def test_sentence_spans(spark):
         at, k = rng.randint(0, 70), rng.randint(0, 6)
         own[3:3] = sents[at : at + k]
         docs.append((i, rng.choice([" ", "\n"]).join(own)))
+    long = " ".join(words(rng, 57))
+    docs += [(70 + i, f"{' '.join(words(rng, 20))}.\n{long}.\n{' '.join(words(rng, 9))}.") for i in range(3)]
     docs += [(60, docs[3][1]), (None, docs[4][1]), (61, None), (62, ""), (3, docs[3][1]), (63, "All. Of. It. " * 30)]
     df = frame(spark, docs)
     got = substring_dedup.repeated_spans(df).collect()
@@ -94,10 +96,11 @@ def test_sentence_spans(spark):
     where, by_hash = {}, {t: h for h, t in hashes.items()}
     for d, t in {(-(1 << 63) if d is None else d, t or "") for d, t in docs}:
         s = sentences(t)
-        for i in range(len(s) - 2):
-            run = s[i : i + 3]
-            if sum(len(x[0]) for x in run) >= 10:
-                where.setdefault(tuple(x[0] for x in run), []).append((d, by_hash.get(t, 0) % (1 << 64), run[0][1], run[2][2], t))
+        for k in (1, 2, 3):
+            for i in range(len(s) - k + 1):
+                run = s[i : i + k]
+                if sum(len(x[0]) for x in run) >= (10 if k == 3 else 40):
+                    where.setdefault(tuple(x[0] for x in run), []).append((d, by_hash.get(t, 0) % (1 << 64), run[0][1], run[-1][2], t))
     spans = {}
     for places in where.values():
         for d, _, a, b, t in sorted(places)[1:]:
