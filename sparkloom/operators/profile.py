@@ -237,3 +237,25 @@ def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact:
                 f.distribution = {"kind": "categorical", "values": privacy.rank_labels([n for n, _ in own], [v for _, v in own])}
     keys = [f.name for f in fields if f.is_identifier and f.unique_ratio >= IDENTIFIER_UNIQUE and not f.nullable]
     return Entity(name, total, fields, None, keys)
+
+
+def semantic_types(df: DataFrame, columns: list[str], order: Column, sample: int = SAMPLE, share: float = 0.8) -> dict[str, str | None]:
+    """Semantic type of text columns: by name, or by what the first values (by order) look like.
+
+    A secret anywhere in the sample decides; else the kind that ``share`` of the sample has.
+    The sample is taken with a bounded aggregate, not with a sort of the table.
+    """
+    out: dict[str, str | None] = {}
+    names = {"email": "email", "phone": "phone", "ssn": "ssn"}
+    for c in columns:
+        text = parse.cell(q(c))
+        first = df.where(text.isNotNull()).select(order.alias("o"), text.alias("v")).orderBy("o").limit(sample)
+        kinds = [r["kind"] for r in first.select(privacy.value_type(F.col("v")).alias("kind")).collect()]
+        by_name = next((k for part, k in names.items() if part in privacy.field_name(c)), None)
+        if "secret" in kinds:
+            out[c] = "secret"
+        elif by_name:
+            out[c] = by_name
+        else:
+            out[c] = next((k for k in ("email", "ssn", "phone") if kinds and kinds.count(k) >= share * len(kinds)), None)
+    return out

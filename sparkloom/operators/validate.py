@@ -165,3 +165,52 @@ def validate(spec: Dataset, tables: dict[str, DataFrame], sections: tuple[str, .
             if errors and fail_fast:
                 break
     return {"passed": all(s["passed"] for s in out.values()), "sections": out}
+
+
+#: fixed values: what generated sensitive text looks like
+SYNTHETIC = r"^(user_[0-9a-f]{12}@example\.test|\+1-202-555-01[0-9]{2}|000-00-[0-9]{4}|synthetic_.*)$"
+
+
+def unsafe_values(spec: Dataset, tables: dict[str, DataFrame]) -> DataFrame | None:
+    """entity, field, n: sensitive texts that aren't of a synthetic form after everything is solved."""
+    parts = []
+    for e in spec.entities:
+        names = [f.name for f in e.fields if f.sensitive and f.data_type == "string" and not f.is_identifier]
+        if names and e.name in tables:
+            wide = tables[e.name].agg(*(F.count_if(~blank(q(n)) & ~q(n).rlike(SYNTHETIC)).alias(f"t{i}") for i, n in enumerate(names)))
+            parts.append(wide.select(F.inline(F.array(*(F.struct(F.lit(e.name).alias("entity"), F.lit(n).alias("field"), F.col(f"t{i}").alias("n")) for i, n in enumerate(names))))))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def assert_profile_safe(profile: Dataset) -> None:
+    """A profile of sensitive fields holds masked patterns or shapes only, and no conditions on them."""
+    for e in profile.entities:
+        for f in e.fields:
+            if f.is_identifier or not (f.sensitive or privacy.sensitive_field(f.name, f.semantic_type)):
+                continue
+            if (f.distribution or {}).get("kind") not in (None, "masked_patterns", "numeric_shape", "boolean", "date_range", "datetime_range"):
+                raise SpecError(f"{e.name}.{f.name}: a sensitive field carries {f.distribution['kind']}")
+            for p in (f.distribution or {}).get("patterns", []):
+                if not _is_mask(p["pattern"]):
+                    raise SpecError(f"{e.name}.{f.name}: a pattern is not masked")
+
+
+# budgets
+
+#: fixed values: the most that one run may ask for
+LIMITS = {"rows_per_entity": 100_000, "input_rows": 1_000_000, "input_cells": 10_000_000, "columns": 1_000, "files": 100, "input_bytes": 512 << 20}
+_WIDTH = {"integer": 20, "float": 24, "boolean": 5, "date": 10, "datetime": 32, "string": 64}
+
+
+def estimated_bytes(spec: Dataset) -> int:
+    """Text size of all tables of a specification."""
+    return sum(e.row_count * sum(_WIDTH[f.data_type] + 1 for f in e.fields) for e in spec.entities)
+
+
+def assert_budget(spec: Dataset, limits: dict[str, int] | None = None) -> None:
+    """Refuses a specification beyond the limits; pass larger ones (or {}) on a cluster."""
+    limits = LIMITS if limits is None else limits
+    for e in spec.entities:
+        for name, n in (("rows_per_entity", e.row_count), ("columns", len(e.fields))):
+            if n > limits.get(name, n):
+                raise SpecError(f"{e.name}: {n} {name.replace('_', ' ')}; at most {limits[name]}")

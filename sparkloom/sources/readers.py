@@ -30,7 +30,13 @@ def _head(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
     """The first bytes of a file of any store that Spark reads."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.getFileStatus(at).isDirectory():  # as Spark writes tables
+        parts = [p for p in _children(spark, path) if p.rsplit("/", 1)[-1].startswith("part-")]
+        if not parts:
+            raise SpecError(f"{path} holds no data")
+        at = jvm.org.apache.hadoop.fs.Path(parts[0])
+    stream = fs.open(at)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
     finally:

@@ -494,3 +494,63 @@ def test_stream(spark, tmp_path):
     got = {r["column_name"]: r for r in profile_stream.merged(spark.read.parquet(str(tmp_path / "store"))).collect()}
     assert got["id"]["row_count"] == 300 and (got["id"]["low"], got["id"]["high"]) == (0.0, 299.0) and got["kind"]["approx_distinct"] == 3
     assert abs(got["id"]["approx_distinct"] - 300) < 15
+
+
+# catalogs, safety, command line
+
+
+def test_catalog(spark, shop):
+    from sparkloom.sources import catalog
+
+    shop["orders"].createOrReplaceTempView("c_orders")
+    assert "c_orders" in catalog.tables(spark) and "default" in catalog.schemas(spark) and catalog.catalogs(spark)
+    assert catalog.tables(spark, allowed=set()) == []
+    assert [c["logical_type"] for c in catalog.describe(spark, "c_orders")][:4] == ["string", "string", "string", "integer"]
+    assert catalog.project(shop["orders"], "o", {"o.status", "o.amount"}).columns == ["amount", "status"]
+    assert catalog.project(shop["orders"], "o", {"o.*"}).columns == sorted(shop["orders"].columns)
+    for bad in ({"o.zz"}, {"x.status"}):
+        with pytest.raises(SpecError):
+            catalog.project(shop["orders"], "o", bad)
+    found = catalog.Keys({"customers": "customer_id"}, [("orders", "customer_id", "customers", "customer_id")]).relationships(shop)[0]
+    assert (found.status, found.kind, found.confidence) == ("declared", "many_to_one", 1.0)
+    assert catalog.limited(spark.range(5000), 9999).count() == 1000
+
+
+def test_safety_and_budget(spark, shop):
+    spec = shop_spec()
+    made = generate.generate(spark, spec)
+    assert validate.unsafe_values(spec, made).where("n > 0").isEmpty()
+    leaked = dict(made, orders=made["orders"].withColumn("phone", F.lit("+49 30 1234567")))
+    assert validate.unsafe_values(spec, leaked).first()["n"] == 200
+    validate.assert_profile_safe(Dataset([profile.profile(shop["customers"], "customers")]))
+    with pytest.raises(SpecError):
+        validate.assert_profile_safe(Dataset([Entity("e", 1, [Field("email", distribution={"kind": "string_pattern", "min_length": 1, "max_length": 2})])]))
+    assert validate.estimated_bytes(spec) > 0
+    spec["orders"].row_count = 200_000
+    with pytest.raises(SpecError):
+        validate.assert_budget(spec)
+    validate.assert_budget(spec, {})
+
+
+def test_semantic_types(spark):
+    rows = [(i, f"u{i}@example.com", "x" if i % 2 else "+1 202-555-0101", f"v{i}", "password: a" if i == 3 else "b") for i in range(20)]
+    df = spark.createDataFrame(rows, "o int, contact string, other string, phone_no string, note string")
+    assert profile.semantic_types(df, ["contact", "other", "phone_no", "note"], F.col("o")) == {"contact": "email", "other": None, "phone_no": "phone", "note": "secret"}
+
+
+def test_command_line(spark, tmp_path, shop, capsys):
+    from sparkloom.__main__ import main
+
+    for n, df in shop.items():
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}.parquet"))
+    at = lambda n: str(tmp_path / n)
+    assert main(["profile", at("in"), "-o", at("p.json")]) == 0
+    assert main(["plan", at("p.json"), "--rows", "9", "--seed", "3", "-o", at("s.yaml")]) == 0
+    assert main(["generate", at("s.yaml"), "--format", "csv", "-o", at("out")]) == 0
+    assert main(["verify", at("out")]) == 0
+    assert main(["export-postgres", at("s.yaml"), at("out"), "-o", at("sql")]) == 0
+    (tmp_path / "q.sql").write_text("SELECT amount, status FROM o WHERE amount > 20")
+    assert main(["profile-query", at("q.sql"), at("in/orders.parquet"), "--name", "o", "-o", at("q.json")]) == 0
+    assert "fraud" not in (tmp_path / "p.json").read_text()
+    (tmp_path / "bad.yaml").write_text("entities: []\n")
+    assert main(["generate", at("bad.yaml"), "-o", at("none")]) == 2
