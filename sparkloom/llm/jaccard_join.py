@@ -9,7 +9,9 @@ Signatures.  Pairs fall in bands by t.  For a band with at most k differences th
 feature domain is cut into n > k partitions by hash and subsets of partitions are
 enumerated: for k <= PAIRS_UP_TO all pairs of n = k + 3 partitions, of which a linked
 pair agrees on 3 at least; for more, single partitions (subsets of one), n = k plus a
-share of slack, of which at least n - k agree.  A set signs in every band that holds a
+slack, of which at least n - k agree.  More slack costs signatures but lets a set drop
+more frequent ones: passages that many documents share then make candidates only of
+sets that they could link by themselves.  A set signs in every band that holds a
 t it can have with a partner, with the hash of its features in each subset.  Sets that
 agree on a subset share that signature.
 
@@ -19,9 +21,9 @@ signature that a linked pair shares survives at both ends.  Signatures of up to
 sets give pairs with a count of shared signatures; a pair that can't reach the count
 that linked sets need, even if all frequent signatures agreed, goes.  Of the more
 frequent ones each set keeps those it may not drop; in what is left, members are
-first compared with one representative; groups that fall into several components
-after that are compared across components only.  Every candidate is verified on
-whole sets.  Nothing is capped or sampled.
+first compared with one representative, the one that meets most others; where a group falls into several components
+after that, sets of different ones are compared by parity sketches, whose differences
+are at most those of the sets.  Every candidate is verified on whole sets.  Nothing is capped or sampled.
 
 Only classes of distinct sets take part (``set_id``, a 64-bit hash, with the size);
 copies meet in a bucket as one.
@@ -37,6 +39,7 @@ extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +54,17 @@ from sparkloom.llm.spans import NULL_ID, keyed
 
 SHINGLE = 5
 SHARE = 75  # percent
-PAIRS_UP_TO = 12
+PAIRS_UP_TO = 4
 SMALL = 24
+#: Slack as a share of k, by k.
+SLACK = ((60, 4.0), (150, 1.5), (400, 0.8), (1 << 62, 0.4))
+SKETCH = 1024  # bits
+#: Bytes of text, and partitions of sets, that a task holds at a time.
+SLICE, CELLS = 1 << 20, 1 << 19
 ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("set", "<u8"), ("spare", "u1")])
 PAIR = np.dtype([("x", "<u8"), ("y", "<u8"), ("n", "<u4")])
 HOT = np.dtype([("sig", "<u8"), ("set", "<u8"), ("size", "<u4"), ("spare", "u1")])
-MEMBER = np.dtype([("sig", "<u8"), ("set", "<u8")])
+MEMBER = np.dtype([("sig", "<u8"), ("set", "<u8"), ("weight", "<u8")])
 
 _bounds = [6]
 while _bounds[-1] < 1 << 40:
@@ -77,8 +85,8 @@ def shape(band: int) -> tuple[int, int, int, bool]:
     k = int(BOUNDS[band]) * (100 - SHARE) // (100 + SHARE)
     if k <= PAIRS_UP_TO:
         return k, k + 3, 3, True
-    slack = 1.0 if k < 60 else 0.6 if k < 150 else 0.4
-    n = k + int(np.ceil(slack * k)) + 1
+    slack = next(share for most, share in SLACK if k < most)
+    n = k + int(np.ceil(slack * k)) + 16
     return k, n, n - k, False
 
 
@@ -119,7 +127,7 @@ def signatures(gram: np.ndarray, bound: np.ndarray, ids: np.ndarray) -> Iterator
         if k < 1:
             continue
         own = np.flatnonzero((size > 0) & (first <= band) & (band <= last))
-        step = max(1, (1 << 21) // n)
+        step = max(1, CELLS // n)
         for lo in range(0, len(own), step):
             part = own[lo : lo + step]
             yield _band_signatures(gram, bound, ids, part, band, n, agree, paired)
@@ -162,7 +170,7 @@ def needed(size: np.ndarray, bound: np.ndarray, gram: np.ndarray) -> tuple[np.nd
         if band == 0 or k < 1 or paired:
             continue
         own = np.flatnonzero((size > 0) & (first <= band) & (band <= last))
-        step = max(1, (1 << 22) // n)
+        step = max(1, CELLS // n)
         for lo in range(0, len(own), step):
             part = own[lo : lo + step]
             count = bound[part + 1] - bound[part]
@@ -179,7 +187,7 @@ def _sign(n_buckets: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 gram, bound = sets_of(raw, offsets, lo, hi)
                 ids = set_ids(gram, bound)
                 # copies within the slice sign once
@@ -193,7 +201,7 @@ def _sign(n_buckets: int):
                     out["low"], out["high"], out["set"], out["spare"] = sig & np.uint64(0xFFFFFFFF), (sig >> np.uint64(32)) & np.uint64(255), own, spare
                     held.append((blocks.bucket_of(mix64(sig), n_buckets), out))
                     size += len(sig)
-                    if size > 1 << 20:
+                    if size > CELLS:
                         yield blocks.pack(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                         held, size = [], 0
                 if held:
@@ -208,7 +216,7 @@ SET_SCHEMA = "doc_id bigint, text_hash bigint, set_id bigint, n bigint, band big
 def _set_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = string_buffers(batch.column(1))
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, SLICE):
             gram, bound = sets_of(raw, offsets, lo, hi)
             size = np.diff(bound)
             first, need = needed(size, bound, gram)
@@ -299,10 +307,13 @@ def _cool(n_buckets: int):
         size = np.diff(np.r_[begin, len(e)])
         place = np.arange(len(e)) - np.repeat(begin, size)
         spare = np.repeat(np.minimum.reduceat(e["spare"], begin), size) if len(e) else e["spare"]
-        rest = e[place >= spare]
+        # how many other sets a set meets in all: an original meets more than its edited copies do
+        weight = np.repeat(np.add.reduceat(e["size"].astype(np.uint64), begin), size) if len(e) else e["set"]
+        keep = place >= spare
+        rest, weight = e[keep], weight[keep]
         if len(rest):
             out = np.empty(len(rest), MEMBER)
-            out["sig"], out["set"] = rest["sig"], rest["set"]
+            out["sig"], out["set"], out["weight"] = rest["sig"], rest["set"], weight
             yield blocks.pack(blocks.bucket_of(mix64(out["sig"]), n_buckets), out)
 
     return reducer
@@ -314,13 +325,14 @@ def _hot_counts(_: int, e: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _starred(_: int, e: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each member of a frequent signature with the least one."""
-    e = e[np.lexsort((e["set"], e["sig"]))]
+    """Each member of a frequent signature with the one of the greatest weight."""
+    e = e[np.lexsort((e["set"], ~e["weight"], e["sig"]))]
     begin = group_starts(e["sig"])
     size = np.diff(np.r_[begin, len(e)])
     own = np.ascontiguousarray(e["set"])
     first = np.repeat(own[begin], size)
-    out = _counted(first[first != own], own[first != own])
+    x, y = np.minimum(first, own)[first != own], np.maximum(first, own)[first != own]
+    out = _counted(x, y)
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[c]).view(np.int64)) for c in ("x", "y")], names=["x", "y"])
 
 
@@ -333,10 +345,62 @@ def _members(_: int, e: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = string_buffers(batch.column(1))
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, SLICE):
             gram, bound = sets_of(raw, offsets, lo, hi)
             data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((bound * 8).astype(np.int32)), pa.py_buffer(gram)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), data], names=["set_id", "grams"])
+            sketch = [np.packbits(np.bincount((gram[a:b] >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1) for a, b in zip(bound, bound[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bound)), pa.array([x.tobytes() for x in sketch], pa.binary()), data],
+                names=["set_id", "n", "sketch", "grams"],
+            )
+
+
+def _across(n_buckets: int):
+    """Of rows sorted by signature: pairs of different components whose sizes and sketches allow a link, in blocks."""
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("sig", "set_id", "root", "n", "sketch")), strict=True)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, own in groupby(rows(batches), key=lambda r: r[0]):
+            for x, y in _compared(list(own)):
+                held.append(_counted(x, y))
+                size += len(x)
+                if size > CELLS:
+                    yield _pair_blocks(held, n_buckets)
+                    held, size = [], 0
+        if held:
+            yield _pair_blocks(held, n_buckets)
+
+    return kernel
+
+
+def _pair_blocks(held: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    both = np.concatenate(held)
+    both = _counted(both["x"], both["y"], both["n"])
+    return blocks.pack(_pair_bucket(both["x"], both["y"], n_buckets), both)
+
+
+def _compared(members: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    order = np.argsort([r[3] for r in members], kind="stable")  # by size, so that sizes that don't fit are ranges
+    ids, root, n = (np.array([r[i] for r in members], np.int64)[order] for i in (1, 2, 3))
+    sketch = np.frombuffer(b"".join(members[i][4] for i in order), np.uint64).reshape(len(members), -1)
+    for lo in range(0, len(members), 64):
+        a = slice(lo, lo + 64)
+        to = int(np.searchsorted(n, n[a][-1] * 100 // SHARE, side="right"))  # what the largest of the part fits
+        b = slice(lo, to)
+        fits = (root[a, None] != root[None, b]) & (np.arange(lo, to)[None, :] > np.arange(lo, lo + len(n[a]))[:, None])
+        fits &= 100 * n[a, None] >= SHARE * n[None, b]
+        i, j = np.nonzero(fits)
+        for at in range(0, len(i), 1 << 16):
+            p, r = lo + i[at : at + (1 << 16)], lo + j[at : at + (1 << 16)]
+            apart = np.bitwise_count(sketch[p] ^ sketch[r]).sum(axis=1, dtype=np.int64)
+            keep = apart * (100 + SHARE) <= (n[p] + n[r]) * (100 - SHARE)
+            if keep.any():
+                x, y = ids[p[keep]].view(np.uint64), ids[r[keep]].view(np.uint64)
+                yield np.minimum(x, y), np.maximum(x, y)
 
 
 def _bands_column(t):
@@ -393,24 +457,16 @@ def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     wanted = likely.select(F.explode(F.array("x", "y")).alias("set_id")).union(members.select("set_id")).distinct()
     chosen = sets.join(wanted, "set_id").select("set_id", F.col("d.doc_id").alias("c_doc"), F.col("d.text_hash").alias("c_hash"))
     texts = rows.join(chosen, (F.col("doc_id") == F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash"))).select("set_id", "text")
-    grams = written(texts.dropDuplicates(["set_id"]).mapInArrow(_fetch, "set_id bigint, grams binary"), "candidate-sets")
+    grams = written(texts.dropDuplicates(["set_id"]).mapInArrow(_fetch, "set_id bigint, n bigint, sketch binary, grams binary"), "candidate-sets")
     links = written(_verified(likely, grams), "links")
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     # frequent signatures whose members fell into several components: across those
     placed = written(members.join(roots, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("root", "set_id").alias("root")), "placed")
     split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    open_ = placed.join(split, "sig")
-    tally = open_.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    sizes = sets.select("set_id", "n")
-    open_ = open_.join(sizes, "set_id")
-    odd = open_.join(tally, "sig").where("root <> main").select("sig", F.col("set_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    across = (
-        odd.join(open_.select("sig", F.col("set_id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny")), "sig")
-        .where(f"rx <> ry AND 100 * least(nx, ny) >= {SHARE} * greatest(nx, ny)")
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        .distinct()
-    )
+    open_ = placed.join(split, "sig").join(grams.select("set_id", "n", "sketch"), "set_id").select("sig", "set_id", "root", "n", "sketch")
+    across = open_.repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(n_buckets), blocks.BLOCK_SCHEMA)
+    across = blocks.reduce_blocks(across, parts, PAIR, _sum_pairs, "x bigint, y bigint, n bigint").select("x", "y")
     more = written(_verified(across, grams), "links")
     discard(grams, likely, placed, cooled)
     if not more.isEmpty():
