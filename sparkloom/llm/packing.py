@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 WIDTH = 4096
 END = 2
 MOST_OPEN = 256
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
