@@ -55,7 +55,13 @@ def pack(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
 
 
 def exchange(blocks: DataFrame, partitions: int) -> DataFrame:
-    """Bring the blocks of a bucket together, bucket after bucket."""
+    """Bring the blocks of a bucket together, bucket after bucket.
+
+    Where the session's own number of shuffle partitions suffices it is used, so that
+    adaptive execution may join small ones.
+    """
+    if partitions <= int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return blocks.repartition("bucket").sortWithinPartitions("bucket")
     return blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
 

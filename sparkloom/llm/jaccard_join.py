@@ -435,7 +435,7 @@ def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     discard()
     table = written(rows.mapInArrow(_set_table, SET_SCHEMA), "sets")
     hot = found.where("bucket % 2 = 1")
-    hot_counts = written(blocks.reduce_blocks(hot, parts, HOT, _hot_counts, "set_id bigint, hot bigint"), "hot-counts")
+    hot_counts = blocks.reduce_blocks(hot, parts, HOT, _hot_counts, "set_id bigint, hot bigint")
     cooled = written(blocks.reduce_blocks(hot, parts, HOT, _cool(n_buckets), blocks.BLOCK_SCHEMA), "frequent")
     stars = blocks.reduce_blocks(cooled, parts, MEMBER, _starred, "x bigint, y bigint")
     members = blocks.reduce_blocks(cooled, parts, MEMBER, _members, "sig bigint, set_id bigint")
@@ -451,14 +451,14 @@ def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     enough = lambda c: reach >= F.coalesce(F.get(f"need{c}", F.col("__band") - F.col(f"band{c}")), F.lit(1))
     likely = sized.withColumn("__band", band).where(enough("x") & enough("y")).select("x", "y")
     likely = written(likely.union(stars).distinct(), "likely")
-    discard(found, hot_counts)
+    discard(found)
 
     # one document stands for each set that is a candidate
     wanted = likely.select(F.explode(F.array("x", "y")).alias("set_id")).union(members.select("set_id")).distinct()
     chosen = sets.join(wanted, "set_id").select("set_id", F.col("d.doc_id").alias("c_doc"), F.col("d.text_hash").alias("c_hash"))
     texts = rows.join(chosen, (F.col("doc_id") == F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash"))).select("set_id", "text")
     grams = written(texts.dropDuplicates(["set_id"]).mapInArrow(_fetch, "set_id bigint, n bigint, sketch binary, grams binary"), "candidate-sets")
-    links = written(_verified(likely, grams), "links")
+    links = _verified(likely, grams)
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     # frequent signatures whose members fell into several components: across those
