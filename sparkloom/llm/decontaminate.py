@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import fresh
 from sparkloom.llm.fm_index import FMIndex
 from sparkloom.llm.kernels import ALNUM, Words, group_starts, ranges, slices, string_buffers
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 RESULT = (
     "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, "
     "spans array<struct<start:bigint,end:bigint>>"
@@ -63,7 +64,7 @@ class Phrases:
             item = np.array([i for i, _ in held])
             order = np.lexsort((item, of))
             begin = np.searchsorted(of[order], np.arange(len(table) + 1))
-            self.groups.append((size, table, item[order], begin))
+            self.groups.append((size, table.astype(np.int32), item[order].astype(np.int32), begin))
         self.shortest = min(by_length, default=0)
 
     def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,26 +193,71 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     return now.select("doc_id", "n_words", "hits", "items").mapInArrow(_report, RESULT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without contaminated rows; all columns and all other rows stay as they are."""
-    blocks = [Phrases(ids, texts, window) for ids, texts in item_blocks(benchmark, BLOCK_BYTES)] or [Phrases([], [], window)]
-    names = docs.columns
-    at = names.index("text")
+def _covered(words: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words of each row inside any occurrence."""
+    edge = np.zeros(len(words.hash) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + size, -1)
+    mark = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
+    return mark[words.begin[1:]] - mark[words.begin[:-1]]
+
 
+def _keep(phrases: Phrases, at: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = string_buffers(batch.column(at))
             keep = np.ones(batch.num_rows, bool)
             for lo, hi in slices(offsets):
                 words = Words(raw, offsets, lo, hi, ALNUM)
-                found = [phrases.occurrences(words) for phrases in blocks]
-                start, size = (np.concatenate([f[i] for f in found]) for i in range(2))
-                covered = np.zeros(len(words.hash) + 1, np.int64)
-                np.add.at(covered, start, 1)
-                np.add.at(covered, start + size, -1)
-                mark = np.r_[0, np.cumsum(np.cumsum(covered[:-1]) > 0)]
-                n_hit = mark[words.begin[1:]] - mark[words.begin[:-1]]
+                start, size, _ = phrases.occurrences(words)
+                n_hit = _covered(words, start, size)
                 keep[lo:hi] = ~((n_hit > 0) & (20 * n_hit >= words.count))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return kernel
+
+
+def _gather(phrases: Phrases, at: int, hidden: int):
+    """Adds one block's hits to a hidden column."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column(at))
+            held = batch.column(hidden).to_pylist()
+            for lo, hi in slices(offsets):
+                words = Words(raw, offsets, lo, hi, ALNUM)
+                start, size, _ = phrases.occurrences(words)
+                row = np.searchsorted(words.begin, start, side="right") - 1
+                for r in np.unique(row):
+                    own = row == r
+                    first = start[own] - words.begin[r]
+                    old = np.frombuffer(held[lo + r] or b"", _HITS)
+                    both = _union(np.r_[old["start"], first].astype(np.int64), np.r_[old["end"], first + size[own]].astype(np.int64))
+                    held[lo + r] = both.tobytes()
+            yield batch.set_column(hidden, batch.schema.field(hidden), pa.array(held, pa.binary()))
+
+    return kernel
+
+
+def _drop(at: int, hidden: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column(at))
+            count = np.concatenate([Words(raw, offsets, lo, hi, ALNUM).count for lo, hi in slices(offsets)] or [np.zeros(0, np.int64)])
+            spans = [np.frombuffer(h or b"", _HITS) for h in batch.column(hidden).to_pylist()]
+            n_hit = np.array([int((s["end"].astype(np.int64) - s["start"]).sum()) for s in spans], np.int64)
+            yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= count)))).remove_column(hidden)
+
+    return kernel
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated rows; all columns and all other rows stay as they are."""
+    blocks = [Phrases(ids, texts, window) for ids, texts in item_blocks(benchmark, block_bytes)] or [Phrases([], [], window)]
+    at = docs.columns.index("text")
+    if len(blocks) == 1:
+        return docs.mapInArrow(_keep(blocks[0], at), docs.schema)
+    now = docs.withColumn(fresh(docs, "__hits"), F.lit(None).cast("binary"))
+    for phrases in blocks:
+        now = now.mapInArrow(_gather(phrases, at, len(docs.columns)), now.schema)
+    return now.mapInArrow(_drop(at, len(docs.columns)), docs.schema)

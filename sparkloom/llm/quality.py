@@ -32,7 +32,7 @@ from sparkloom.llm.kernels import LOWER, TOKENS, Words, mix64, seeds, slices, st
 
 BITS = 20
 SCALE = 8.0
-MAX_ROWS = 6000
+MAX_ROWS = 5000
 EPOCHS = 3
 FOLDS = 5
 THRESHOLD = 0.3
@@ -114,16 +114,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("__id")).select("text", F.col("__quality").alias("label"))
     held = rows.mapInArrow(_featurise, "label int, idx binary, val binary").collect()
     held.sort(key=lambda r: (bytes(r["idx"]), r["label"]))  # the order of learning doesn't depend on the partitions
-    model, top = Ftrl(), 1 << BITS
-    examples = [
-        (np.r_[np.frombuffer(r["idx"], np.int32), top].astype(np.int64), np.r_[np.frombuffer(r["val"], np.float32), 1.0].astype(np.float64), float(r["label"]))
-        for r in held
-    ]
-    del held
+    model, top, one = Ftrl(), np.array([1 << BITS]), np.ones(1)
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(examples)):
-            model.learn(*examples[i])
+        for i in order.permutation(len(held)):
+            r = held[i]  # features are read in place: nothing of them is copied for all rows
+            model.learn(np.r_[np.frombuffer(r["idx"], np.int32), top], np.r_[np.frombuffer(r["val"], np.float32), one], float(r["label"]))
     return model.weights().astype(np.float32)
 
 

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm import decontaminate, embedding_dedup, jaccard_join, packing, quality, quotes, substring_dedup, suffix_dedup, url_filter, warc
 from sparkloom.llm.common import table
 from sparkloom.llm.oracles import ORACLES
+from sparkloom.llm.spans import NULL_ID
+
+#: doc_id, with the stand-in of a null id taken back
+DOC = f"CASE WHEN doc_id > {NULL_ID + 1} - 1 THEN doc_id END AS doc_id"
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
-    return found.selectExpr("doc_id", "start AS start_word", "end AS end_word", "end - start AS n_words")
+    return found.selectExpr(DOC, "start AS start_word", "end AS end_word", "end - start AS n_words")
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
-    return found.selectExpr("doc_id", "start AS start_byte", "end AS end_byte")
+    return found.selectExpr(DOC, "start AS start_byte", "end AS end_byte")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

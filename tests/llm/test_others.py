@@ -244,3 +244,27 @@ def test_pipeline_stages(spark, sf):
         now = spark.read.parquet(path)
     ran = {r["doc_id"]: r["doc_tokens"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert ran == tokens
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, repeated and null ids; and an empty table."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 900)) + rng.choice(["", "", ".", ","]) for _ in range(n))
+    rows = [(i, text(rng.randint(20, 90)), "en", "s", 1) for i in range(30)]
+    rows += [(40, None, None, None, None), (41, "", None, None, None), (None, text(40), None, None, None), (None, None, None, None, None), (42, text(60_000), "en", "s", 1)]
+    rows += [rows[3], rows[3], (43, rows[5][1], "de", None, 7), (6, "another text " + text(30), "en", "s", 1), (44, " \n\t", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(30)] + [(None, 1, None), (5, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, text(15)), (2, None), (None, "x y z")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            path = str(tmp_path / f"{name}-{empty}")
+            out.write.parquet(path)
+            now = spark.read.parquet(path)
+            if name != "packing":
+                assert now.columns == docs.columns
+        assert (now.count() == 0) == empty
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -165,7 +165,8 @@ def test_decontamination(spark, block_bytes):
     got = decontaminate.hits(frame(spark, docs), items, block_bytes=block_bytes).drop("spans").collect()
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted((tuple(r) for r in got), key=key) == sorted(contaminated(docs, ITEMS), key=key)
-    kept = decontaminate.clean(frame(spark, docs), items)
+    kept = decontaminate.clean(frame(spark, docs), items, block_bytes=block_bytes)
+    assert kept.columns == frame(spark, docs).columns
     bad = sorted(str((d, t)) for (d, t), r in zip(docs, contaminated(docs, ITEMS), strict=True) if not r[5])
     assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == bad
 
