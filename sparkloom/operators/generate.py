@@ -24,9 +24,10 @@ from sparkloom.operators.profile import q
 from sparkloom.operators.rule_profiles import aggregated
 
 INVALID = "__invalid"
-#: fixed values: defaults of each type, the wrong value of each type, and the default span of time
-DEFAULTS = {"integer": 0, "float": 0.0, "boolean": False, "string": "synthetic_required", "date": "2020-01-01", "datetime": "2020-01-01T00:00:00"}
-WRONG = {"integer": "not_an_integer", "float": "not_a_float", "boolean": "not_a_boolean", "string": "12345", "date": "not_a_date", "datetime": "not_a_datetime"}
+#: fixed values: defaults of each type and of two semantic types, the wrong value of each type, and the default span of time
+DEFAULTS = {"integer": 0, "float": 0.0, "boolean": False, "string": "required", "date": "2000-01-01", "datetime": "2000-01-01T00:00:00"}
+SEMANTIC_DEFAULTS = {"email": "synthetic@example.test", "phone": "+1-202-555-0100"}
+WRONG = {"integer": "not-a-number", "float": "not-a-number", "boolean": "not-a-boolean", "date": "not-a-timestamp", "datetime": "not-a-timestamp", "string": "12345"}
 FIRST, LAST = 1577836800, 1735689600
 
 
@@ -66,12 +67,26 @@ def _numeric_bounds(d: dict) -> tuple[float, float]:
         return (-top if d.get("has_negative") else 0.0, top if d.get("has_positive") else 0.0)
     if d.get("kind") != "numeric":
         return 0.0, 1000.0
-    low = d["p05"] if d.get("p05") is not None else d.get("min", 0) or 0
-    high = d["p95"] if d.get("p95") is not None else d.get("max", low) or low
+    low = next((d[k] for k in ("p05", "min") if d.get(k) is not None), 0)
+    high = next((d[k] for k in ("p95", "max") if d.get(k) is not None), 1000)
     scale = d.get("scale_factor", 1.0)
     return float(low) * scale, float(max(low, high)) * scale
 
 
+def default_value(f: Field):
+    """What a field gets where a constraint requires it: the first thing its distribution allows, else its type's default."""
+    d = f.distribution or {}
+    if d.get("kind") == "categorical" and d["values"]:
+        return d["values"][0]["value"]
+    if d.get("kind") == "numeric":
+        return next((d[k] for k in ("min", "p05", "max", "p95") if d.get(k) is not None), 0)
+    if d.get("kind") in ("date_range", "datetime_range") and d.get("min"):
+        return str(d["min"])
+    if f.data_type == "string" and f.semantic_type in SEMANTIC_DEFAULTS:
+        return SEMANTIC_DEFAULTS[f.semantic_type]
+    return DEFAULTS[f.data_type]
+
+
 def _seconds(value, default: int) -> int:
     from datetime import UTC, datetime
 
@@ -93,7 +108,7 @@ def field_value(spec_seed: int, entity: str, f: Field, fast: bool = False) -> Co
         elif d.get("kind") == "categorical":
             value = draws.weighted(u, [str(v["value"]) for v in d["values"]], [v["weight"] for v in d["values"]])
         else:
-            low, high = (d.get("min_length", 8), d.get("max_length", 16)) if d.get("kind") == "string_pattern" else (8, 16)
+            low, high = (d.get("min_length", 6), d.get("max_length", 12)) if d.get("kind") == "string_pattern" else (6, 12)
             value = F.concat(F.lit("syn_"), draws.letters(spec_seed, entity, f.name, draws.whole(u, max(1, low), max(1, high)), fast))
     elif kind == "boolean":
         value = u < F.lit(float(d.get("true_ratio", 0.5)))
@@ -170,7 +185,7 @@ def solve(spec: Dataset, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         f = spec[c.entity][c.required_field]
         cond, x = q(c.condition_field), q(c.required_field)
         missing = x.isNull() | (x.cast("string") == "")
-        fill = F.lit(DEFAULTS[f.data_type]).cast(parse.SPARK_TYPE[f.data_type])
+        fill = F.lit(default_value(f)).cast(parse.SPARK_TYPE[f.data_type])
         out[c.entity] = out[c.entity].withColumn(c.required_field, F.when(F.coalesce(cond == F.lit(c.condition_value), F.lit(False)) & missing, fill).otherwise(x))
     for c in by("aggregate_mapping"):
         r = next((r for r in spec.relationships if (r.parent_entity, r.child_entity) == (c.entity, c.child_entity)), None)

@@ -251,8 +251,8 @@ def apply_valid(tables: dict[str, DataFrame], rules: Rules) -> dict[str, DataFra
             if r.required:
                 c = F.when(blank(c), _default(r, kind)).otherwise(c)
             if r.allowed_values:
-                good = reduce(Column.__or__, (same(c, v) for v in r.allowed_values))
-                c = F.when(~blank(c) & ~good, F.lit(r.allowed_values[0]).cast(kind)).otherwise(c)
+                good = reduce(Column.__or__, (same(c, v) for v in r.allowed_values))  # a null isn't among them
+                c = F.when(~good, F.lit(r.allowed_values[0]).cast(kind)).otherwise(c)
             df = df.withColumn(r.field, c)
         elif r.kind == "conditional_required":
             for n in r.required_fields:
@@ -263,7 +263,7 @@ def apply_valid(tables: dict[str, DataFrame], rules: Rules) -> dict[str, DataFra
             df = df.withColumn(r.field, F.when(r.when.column() & ~good, F.lit(r.allowed_values[0]).cast(df.schema[r.field].dataType)).otherwise(q(r.field)))
         elif r.kind == "temporal_ordering":
             s, e = q(r.start_field), q(r.end_field)
-            df = df.withColumn(r.end_field, F.when(F.coalesce(_time(s) > _time(e), F.lit(False)), s.cast(df.schema[r.end_field].dataType)).otherwise(e))
+            df = df.withColumn(r.end_field, F.when(_time(s).isNotNull() & (_time(e).isNull() | (_time(s) > _time(e))), s.cast(df.schema[r.end_field].dataType)).otherwise(e))
         elif r.kind == "formula":
             value = formula.parse(r.expression).column()
             df = df.withColumn(r.field, F.coalesce(value.cast(df.schema[r.field].dataType), q(r.field)))

@@ -215,7 +215,7 @@ def test_one_to_one(spark):
 
 def test_invalid_modes(spark):
     made = generate.generate(spark, shop_spec(mode="negative"))["orders"]
-    assert made.where("quantity <> 'not_an_integer' OR order_id LIKE 'not%'").count() == 0
+    assert made.where("quantity <> 'not-a-number' OR order_id LIKE 'not%'").count() == 0
     assert made.where(F.size("__invalid") == 9).count() == 200
     some = generate.generate(spark, shop_spec(mode="mixed", invalid_ratio=0.25))["orders"]
     share = some.agg(F.avg(F.size("__invalid")) / 9).first()[0]
