@@ -41,12 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, collect: bool = True) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
     for df in tables:
         spark = df.sparkSession
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if not collect:
+        return
     gc.collect()
     if spark := SparkSession.getActiveSession():
         spark.sparkContext._jvm.System.gc()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = links.select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).where("a <> b").distinct()
     edges, before = written(edges, "edges"), None
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, True), False), "edges")
+        last, edges = edges, written(_star(_star(edges, True), False), "edges")
+        discard(last, collect=False)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -38,8 +38,6 @@ def frame(spark, docs):
 def repeated_words(docs, n=50):
     """Covered words by (doc_id, text): windows of n words that occur earlier too."""
     rows = sorted({(-(1 << 63) if d is None else d, t or "") for d, t in docs})
-    import xxhash  # noqa: F401  (only to show that no hash is shared with the operator)
-
     where = {}
     for d, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
