@@ -206,3 +206,50 @@ PROFILING = [
     ("mask_rows_customer", masked_customers, "SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN '[MASKED]' END AS c_name, c_mktsegment FROM customer"),
     ("event_windows", event_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS row_count, count(value) AS non_null, min(value) AS min_value, max(value) AS max_value, coalesce(bool_or(value < 0), false) AS has_negative FROM events GROUP BY 1, 2"),
 ]
+
+
+def declared_keys(spark, d):
+    """Foreign keys as a catalog would declare them, measured."""
+    from sparkloom.sources.catalog import Keys
+
+    held = {n: table(spark, d, n) for n in ("customer", "orders", "lineitem", "nation", "region")}
+    keys = Keys(foreign=[("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_nationkey", "region", "r_regionkey")])
+    found = keys.relationships(held)
+    return spark.createDataFrame([(r.child_entity, r.child_field, r.parent_entity, r.parent_field, r.kind, r.status, r.confidence) for r in found], "child string, child_field string, parent string, parent_field string, kind string, status string, confidence double")
+
+
+def _declared_sql() -> str:
+    keys = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_nationkey", "region", "r_regionkey"))
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS child, '{ck}' AS child_field, '{p}' AS parent, '{pk}' AS parent_field, CASE WHEN count({ck}) = count(DISTINCT {ck}) THEN 'one_to_one' ELSE 'many_to_one' END AS kind,
+        'declared' AS status, round(count(k) / count({ck}), 6)::DOUBLE AS confidence FROM {c} LEFT JOIN (SELECT DISTINCT {pk} AS k FROM {p}) ON {ck} = k"""
+        for c, ck, p, pk in keys
+    )
+
+
+def metadata(spark, d):
+    """Schema and row count of a Parquet table, no value read."""
+    from sparkloom.sources.readers import parquet_metadata
+
+    held = parquet_metadata(spark, f"{d}/orders.parquet")
+    return spark.createDataFrame([(f.name, f.data_type, held.row_count) for f in held.fields], "column_name string, logical_type string, row_count bigint")
+
+
+METADATA = """
+SELECT column_name, CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN data_type = 'DOUBLE' THEN 'float' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'string' END AS logical_type,
+       (SELECT count(*) FROM orders) AS row_count FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name,
+       unnest(['BIGINT', 'BIGINT', 'VARCHAR', 'DOUBLE', 'TIMESTAMP', 'VARCHAR']) AS data_type)
+"""
+
+
+def allowed(spark, d):
+    from sparkloom.sources.catalog import project
+
+    return project(table(spark, d, "part"), "part", {"part.p_size", "part.p_brand"}).groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+
+
+PROFILING += [
+    ("declared_keys", declared_keys, _declared_sql()),
+    ("parquet_metadata_orders", metadata, METADATA),
+    ("allowlist_projection", allowed, "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2"),
+]
