@@ -42,12 +42,18 @@ def melted(wide: DataFrame, parts: dict[str, list[tuple[str, Column]]]) -> DataF
 
 def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """column_name, row_count, non_null, null_ratio, distinct_count, min, max, p05, p95."""
+    if exact:
+        return _exact_summary(df, columns)
     measures, parts = [F.count("*").alias("n")], {}
     for i, name in enumerate(columns):
         c = q(name).cast("double")
-        distinct = F.count_distinct(q(name)) if exact else F.approx_count_distinct(q(name))
-        quantile = F.percentile(c, [0.05, 0.95]) if exact else F.percentile_approx(c, [0.05, 0.95], 10_000)
-        measures += [F.count(q(name)).alias(f"c{i}"), distinct.alias(f"d{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), quantile.alias(f"p{i}")]
+        measures += [
+            F.count(q(name)).alias(f"c{i}"),
+            F.approx_count_distinct(q(name)).alias(f"d{i}"),
+            F.min(c).alias(f"lo{i}"),
+            F.max(c).alias(f"hi{i}"),
+            F.percentile_approx(c, [0.05, 0.95], 10_000).alias(f"p{i}"),
+        ]
         parts[name] = [
             ("row_count", F.col("n")),
             ("non_null", F.col(f"c{i}")),
@@ -61,6 +67,26 @@ def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> D
     return melted(df.agg(*measures), parts)
 
 
+def _exact_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Values are counted first, map-side too; distinct counts and percentiles then come from values with their counts."""
+    cells = F.array(*(F.struct(F.lit(n).alias("column_name"), q(n).cast("double").alias("v")) for n in columns))
+    counted = df.select(F.inline(cells)).groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    out = counted.groupBy("column_name").agg(
+        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+        F.count("v").alias("distinct_count"),
+        F.min("v").alias("min_value"),
+        F.max("v").alias("max_value"),
+        F.percentile("v", [0.05, 0.95], F.col("n")).alias("p"),
+    )
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))  # an empty table has its rows too
+    out = names.join(out, "column_name", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "non_null", "distinct_count")})
+    return out.select(
+        "column_name", "row_count", "non_null", null_ratio(F.col("non_null"), F.col("row_count")).alias("null_ratio"), "distinct_count", "min_value", "max_value",
+        F.col("p")[0].alias("p05"), F.col("p")[1].alias("p95"),
+    )
+
+
 def null_ratio(non_null: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.round(1 - non_null / total, 6))
 

@@ -554,3 +554,13 @@ def test_command_line(spark, tmp_path, shop, capsys):
     assert "fraud" not in (tmp_path / "p.json").read_text()
     (tmp_path / "bad.yaml").write_text("entities: []\n")
     assert main(["generate", at("bad.yaml"), "-o", at("none")]) == 2
+
+
+def test_exact_summary(spark):
+    df = spark.createDataFrame([(1.0, 5), (2.0, 5), (None, 6), (float("nan"), 7)], "a double, b int")
+    got = {r["column_name"]: r for r in profile.numeric_summary(df, ["a", "b"], exact=True).collect()}
+    assert (got["b"]["row_count"], got["b"]["non_null"], got["b"]["distinct_count"], got["b"]["max_value"]) == (4, 4, 3, 7.0)
+    assert (got["a"]["non_null"], got["a"]["null_ratio"], got["a"]["distinct_count"], got["a"]["min_value"]) == (3, 0.25, 3, 1.0)
+    assert {(r["row_count"], r["null_ratio"]) for r in profile.numeric_summary(df.limit(0), ["a", "b"], exact=True).collect()} == {(0, 0.0)}
+    fast = {r["column_name"]: r for r in profile.numeric_summary(df, ["b"]).collect()}
+    assert (fast["b"]["row_count"], fast["b"]["min_value"]) == (4, 5.0)
