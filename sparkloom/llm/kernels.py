@@ -200,6 +200,15 @@ def runs(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix64(out)
 
 
+def runs_at(hashes: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """runs() of the places in at only."""
+    by = seeds(k, 1000 + salt)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        out += hashes[at + j] * by[j]
+    return mix64(out)
+
+
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """Where groups of equal keys begin in sorted keys."""
     n = len(keys[0])

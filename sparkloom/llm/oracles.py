@@ -191,3 +191,22 @@ SELECT doc_id, min(a)::BIGINT AS start_byte, max(b)::BIGINT AS end_byte FROM spa
 """
 
 ORACLES |= {"op1_suffix_array_dedup": OP1, "op2_quotation_linking": OP2, "op5_warc_derivatives": OP5, "op9_substring_dedup": OP9}
+
+#: op9 with runs of too few words lengthened: sentences and later are those of OP9
+OP9_WHOLE = (
+    OP9[: OP9.index("), ahead AS (")]
+    + """), listed AS (
+  SELECT doc_id, list(words ORDER BY s) AS w, list(n ORDER BY s) AS ns, list(a ORDER BY s) AS a, list(b ORDER BY s) AS b FROM sentences GROUP BY doc_id
+), spread AS (
+  SELECT *, unnest(range(1, len(w) + 1)) AS s FROM listed
+), tried AS (
+  SELECT *, unnest(range(1, least(10, len(w) - s + 1) + 1)) AS m FROM spread
+), summed AS (
+  SELECT doc_id, a[s] AS a, b[s + m - 1] AS b, m, list_sum(ns[s : s + m - 1]) AS held, ns[s + m - 1] AS last_n, array_to_string(w[s : s + m - 1], '|') AS k FROM tried
+), runs AS (
+  SELECT doc_id, a, b, k FROM summed WHERE CASE m WHEN 1 THEN held >= 40 WHEN 2 THEN held >= 20 WHEN 3 THEN held >= 10 ELSE held >= 10 AND held - last_n < 10 END
+"""
+    + OP9[OP9.index("), later AS (") :]
+)
+
+ORACLES |= {"op9_whole_passage_dedup": OP9_WHOLE}

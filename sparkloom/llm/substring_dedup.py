@@ -10,6 +10,12 @@ word don't count.  A run of fewer than ``min_words`` words is too common to be a
 copy and is left alone; fewer than ``run`` sentences are a run too if they hold
 LONG words, so that a long passage of one or two sentences is found.
 
+With ``lengthen`` a run of too few words isn't left alone: it goes on, sentence by
+sentence, until it holds ``min_words``, and two sentences are a run from PAIR words
+on.  So a stretch of ``run`` sentences and ``min_words`` words always holds a run,
+however short its sentences or lines are; what such a stretch may lose is its end,
+of fewer than ``min_words`` words or ``run`` sentences.
+
 Scale: one map pass ships 32 bytes for each sentence.  Runs repeated within a slice
 of 4 MB are settled there and only their first is compared globally, so that a
 passage on a third of all rows reaches its bucket once per slice.
@@ -31,11 +37,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import blocks, spans
 from sparkloom.llm.common import fresh
-from sparkloom.llm.kernels import ALNUM, Words, group_starts, mix64, runs, seeds, slices, string_buffers
+from sparkloom.llm.kernels import ALNUM, Words, group_starts, mix64, runs_at, seeds, slices, string_buffers
 
 RUN = 3
 MIN_WORDS = 10
 LONG = 40
+PAIR = 20
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<u8"), ("start", "<u4"), ("end", "<u4"), ("known", "u1")])
 
 _STOP = np.zeros(256, bool)
@@ -73,7 +80,23 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
     return row, value, end - begin, words.start[begin] - base, close - base
 
 
-def _map(run: int, min_words: int, n_buckets: int):
+def _run_places(row: np.ndarray, total: np.ndarray, run: int, min_words: int, lengthen: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of sentences, and where runs of so many begin."""
+    for k in range(1, (max(run, min_words) if lengthen else run) + 1):
+        n = len(row) - k + 1
+        if n <= 0:
+            return
+        held = total[k:] - total[:-k]
+        least = LONG if k < run else min_words
+        if lengthen and k == 2 < run:
+            least = PAIR
+        fit = (row[:n] == row[k - 1 :]) & (held >= least)
+        if k > run:  # a sentence less was not enough
+            fit &= total[k - 1 : -1] - total[:-k] < min_words
+        yield k, np.flatnonzero(fit)
+
+
+def _map(run: int, min_words: int, n_buckets: int, lengthen: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy()
@@ -83,13 +106,9 @@ def _map(run: int, min_words: int, n_buckets: int):
                 row, value, words, start, end = sentences(raw, offsets, lo, hi)
                 total = np.r_[0, np.cumsum(words)]
                 found = []
-                for k in range(1, run + 1):
-                    n = len(row) - k + 1
-                    if n <= 0:
-                        break
-                    at = np.flatnonzero((row[:n] == row[k - 1 :]) & (total[k:] - total[:-k] >= (min_words if k == run else LONG)))
+                for k, at in _run_places(row, total, run, min_words, lengthen):
                     part = np.empty(len(at), ENTRY)
-                    part["key"], part["doc"], part["text"] = runs(value, k, k)[at], doc[lo + row[at]], text[lo + row[at]]
+                    part["key"], part["doc"], part["text"] = runs_at(value, at, k, k), doc[lo + row[at]], text[lo + row[at]]
                     part["start"], part["end"], part["known"] = start[at], end[at + k - 1], 0
                     found.append(part)
                 out = np.concatenate(found) if found else np.empty(0, ENTRY)
@@ -112,7 +131,7 @@ def _later(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, later
 
 
-def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lengthen: bool = False) -> DataFrame:
     """One row for each removed stretch: doc_id, text_hash, start and end in bytes of the text's UTF-8."""
     n_buckets, parts = blocks.bucket_count(docs), blocks.partition_count(docs)
 
@@ -126,18 +145,18 @@ def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
                 out[name] = found[name]
             yield blocks.pack(spans.doc_bucket(out["doc"], out["text"], n_buckets), out)
 
-    first = spans.keyed(docs).mapInArrow(_map(run, min_words, n_buckets), blocks.BLOCK_SCHEMA)
+    first = spans.keyed(docs).mapInArrow(_map(run, min_words, n_buckets, lengthen), blocks.BLOCK_SCHEMA)
     return spans.gathered(blocks.reduce_blocks(first, parts, ENTRY, reducer, blocks.BLOCK_SCHEMA), parts)
 
 
-def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lengthen: bool = False) -> DataFrame:
     """docs with repeated stretches cut out of text; a document of which nothing is left goes.
 
     All columns stay; n_chars, where there is one, is counted anew for changed texts.
     """
     cuts, doc, held, key, own, new = (fresh(docs, n) for n in ("__cuts", "__doc", "__hash", "__key", "__own", "__new"))
     found = (
-        repeated_spans(docs, run, min_words)
+        repeated_spans(docs, run, min_words, lengthen)
         .groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
         .select(F.col("doc_id").alias(doc), F.col("text_hash").alias(held), cuts)

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from sparkloom.llm import decontaminate, substring_dedup, suffix_dedup
 
 DOCS = "doc_id bigint, text string, start string, text_hash string, __key string, n_chars bigint"
@@ -176,3 +177,51 @@ def test_empty_tables(spark):
     assert suffix_dedup.repeated_passages(docs).count() == 0
     assert substring_dedup.repeated_spans(docs).count() == 0
     assert substring_dedup.without_repeats(docs).count() == 0
+
+
+def lengthened_runs(s):
+    """First and last sentence of each run of the lengthened rule."""
+    for i in range(len(s)):
+        held = 0
+        for k in range(1, len(s) - i + 1):
+            held += len(s[i + k - 1][0])
+            if k < 3:
+                if held >= (40, 20)[k - 1]:
+                    yield i, i + k - 1
+            elif held >= 10:
+                yield i, i + k - 1
+                break
+
+
+def test_short_sentences_are_not_left_alone(spark):
+    rng = random.Random(5)
+    menu = "\n".join(words(rng, 150, 10**6))
+    script = "\n".join("".join(chr(0x4E00 + rng.randint(0, 5000)) for _ in range(20)) for _ in range(30))
+    pair = f"{' '.join(words(rng, 12, 10**6))}. {' '.join(words(rng, 12, 10**6))}."
+    docs = [(10 * j + i, f"Own {' '.join(words(rng, 12, 10**6))}.\n{p}\nend {' '.join(words(rng, 12, 10**6))}.") for j, p in enumerate((menu, script, pair)) for i in range(3)]
+    sents = [" ".join(words(rng, rng.randint(1, 4))) + "." for _ in range(60)]
+    docs += [(100 + i, " ".join(sents[(a := rng.randint(0, 50)) : a + rng.randint(1, 20)])) for i in range(60)]
+    docs += [(200, "All. Of. It. " * 30), (201, None), (202, "a. b. c.")]
+    df = frame(spark, docs)
+    got = {(r["doc_id"], r["start"], r["end"]) for r in substring_dedup.repeated_spans(df, lengthen=True).collect()}
+    where = {}
+    for d, t in docs:
+        s = sentences(t or "")
+        for i, j in lengthened_runs(s):
+            where.setdefault(tuple(x[0] for x in s[i : j + 1]), []).append((d, s[i][1], s[j][2]))
+    want, open_ = set(), None
+    for d, a, b in sorted({p for places in where.values() for p in sorted(places)[1:]}):
+        if open_ and open_[0] == d and a <= open_[2]:
+            open_[2] = max(open_[2], b)
+            continue
+        if open_:
+            want.add(tuple(open_))
+        open_ = [d, a, b]
+    want.add(tuple(open_))
+    assert got == want
+    # the pipeline cuts every copy but the first, whole
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    for j, p in enumerate((menu, script, pair)):
+        assert p in left[10 * j]
+        for i in (1, 2):
+            assert not any(line in left[10 * j + i] for line in p.split("\n")) and "end" in left[10 * j + i]
