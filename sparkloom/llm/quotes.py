@@ -2,11 +2,16 @@
 
 A line's quote level is the number of ``>`` (blanks between allowed) it starts with.
 A passage is a run of lines of one level; its blanks are squeezed and A-Z lower-cased
-for hashing.  A quoted passage of level n (at least MIN_CHARS characters) is joined,
-by hash, to the messages that hold it as a passage of their own (level 0); the latest
-earlier message of the same conversation wins, so a reply to a reply links to the
-right one.  Where no earlier message of the conversation holds it, the earliest in
-another conversation is named as foreign.  Messages are returned in reply order,
+for hashing.  Passages are hashed whole, by paragraph and by line, so that a trimmed
+quote, one answered paragraph by paragraph and one whose blank lines lack ``>`` are
+found too.  Quoted pieces are joined, by hash, to the messages that hold them as a
+piece of their own (level 0); the latest earlier message of the same conversation
+wins, so a reply to a reply links to the right one.  Of a message's pieces the least
+level counts, of that the whole passage before paragraphs and these before lines,
+and of parts the message that holds most characters of them.  Parts have at least
+MIN_CHARS characters; a whole passage may be shorter inside a conversation.  Where no
+earlier message of the conversation holds a piece, the earliest in another
+conversation is named as foreign.  Messages are returned in reply order,
 each with its own words only, its parent turn (the quoted message of the least
 level, else the turn before) and its depth of quotes.
 
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.url_filter import ascii_lower
 
 MIN_CHARS = 8
+PARAGRAPH = r"\n(?:[ \t\r]*\n)+"
 MARK = r"^((?:[ \t]*>)*)[ \t]?"
 
 
@@ -58,6 +64,17 @@ def passages(text):
     )
 
 
+def _pieces(parts: DataFrame, min_chars: int) -> DataFrame:
+    """parts by piece, hashed: h1, h2, rank (0 whole, 1 paragraph, 2 line) and n_chars; body goes."""
+    as_parts = lambda rank, pattern: F.transform(F.split("body", pattern), lambda b: F.struct(F.lit(rank).alias("rank"), b.alias("piece")))
+    whole = F.array(F.struct(F.lit(0).alias("rank"), F.col("body").alias("piece")))
+    every = F.when(F.contains("body", F.lit("\n")), F.concat(whole, as_parts(1, PARAGRAPH), as_parts(2, "\n"))).otherwise(whole)
+    kept = [c for c in parts.columns if c != "body"]
+    spread = parts.select(*kept, F.inline(every)).withColumn("norm", _normal(F.col("piece"))).withColumn("n_chars", F.length("norm").cast("bigint"))
+    spread = spread.where((F.col("n_chars") >= min_chars) | ((F.col("rank") == 0) & (F.col("n_chars") > 0)))
+    return spread.select(*kept, "rank", "n_chars", F.xxhash64("norm").alias("h1"), F.md5("norm").alias("h2"))
+
+
 def linked(conversations: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """conv_id, turn, role, text (own words), n_quoted, max_level, parent_turn, linked, foreign_conv, position."""
     base = conversations.select(
@@ -71,36 +88,31 @@ def linked(conversations: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     max_level = F.array_max(F.transform("__parts", lambda p: p["level"])).cast("bigint")
     messages = cut.select("__row", "conv_id", "turn", "role", own.alias("text"), n_quoted.alias("n_quoted"), max_level.alias("max_level"))
 
-    quoted = (
-        cut.where(has_quote)
-        .select("__row", F.col("conv_id").alias("q_conv"), F.col("turn").alias("q_turn"), F.inline("__parts"))
-        .where(F.col("level") > 0)
-        .withColumn("norm", _normal(F.col("body")))
-        .where(F.length("norm") >= min_chars)
-        .select("__row", "q_conv", "q_turn", "level", F.xxhash64("norm").alias("h1"), F.md5("norm").alias("h2"))
-    )
-    originals = (
-        cut.select("conv_id", "turn", F.inline("__parts"))
-        .where(F.col("level") == 0)
-        .withColumn("norm", _normal(F.col("body")))
-        .where(F.length("norm") >= min_chars)
-        .select("conv_id", "turn", F.xxhash64("norm").alias("h1"), F.md5("norm").alias("h2"))
-    )
+    quoted = cut.where(has_quote).select("__row", F.col("conv_id").alias("q_conv"), F.col("turn").alias("q_turn"), F.inline("__parts")).where(F.col("level") > 0)
+    quoted = _pieces(quoted, min_chars)
+    originals = _pieces(cut.select("conv_id", "turn", F.inline("__parts")).where(F.col("level") == 0).drop("level"), min_chars).drop("rank", "n_chars")
     wanted = quoted.select("h1", "h2").distinct()
     held = originals.join(wanted, ["h1", "h2"], "left_semi")
     # the latest earlier original of the conversation: one sort of quotations and originals, no join of repeats
-    both = quoted.select(F.col("q_conv").alias("conv_id"), F.col("q_turn").alias("turn"), "h1", "h2", "__row", "level", F.lit(None).cast("bigint").alias("o_turn"))
+    both = quoted.select(F.col("q_conv").alias("conv_id"), F.col("q_turn").alias("turn"), "h1", "h2", "__row", "level", "rank", "n_chars", F.lit(None).cast("bigint").alias("o_turn"))
     both = both.unionByName(held.distinct().withColumns({"o_turn": F.col("turn")}), allowMissingColumns=True)
     asof = Window.partitionBy("conv_id", "h1", "h2").orderBy("turn", F.col("o_turn").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     inside = (
         both.withColumn("found", F.last("o_turn", ignorenulls=True).over(asof))
         .where(F.col("__row").isNotNull() & F.col("found").isNotNull() & (F.col("found") < F.col("turn")))
+        .groupBy("__row", "level", "rank", "found")
+        .agg(F.when(F.col("rank") > 0, F.sum("n_chars")).otherwise(F.lit(0)).alias("n"))
         .groupBy("__row")
-        .agg(F.max_by("found", F.struct((-F.col("level")).alias("l"), F.col("found").alias("f"))).alias("__parent"))
+        .agg(F.max_by("found", F.struct((-F.col("level")).alias("l"), (-F.col("rank")).alias("r"), "n", F.col("found").alias("f"))).alias("__parent"))
     )
     first = held.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
     foreign = (
-        quoted.join(first, ["h1", "h2"]).where(~F.col("o.conv_id").eqNullSafe(F.col("q_conv"))).groupBy("__row").agg(F.min("o.conv_id").alias("__foreign"))
+        quoted.where(F.col("n_chars") >= min_chars)
+        .join(first, ["h1", "h2"])
+        .where(~F.col("o.conv_id").eqNullSafe(F.col("q_conv")))
+        .groupBy("__row")
+        .agg(F.min(F.struct("rank", F.col("o.conv_id").alias("conv"))).alias("least"))
+        .select("__row", F.col("least.conv").alias("__foreign"))
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "__row")
     return (

@@ -211,6 +211,31 @@ def test_quotes(spark):
     assert quotes.linked(df.limit(0)).count() == 0
 
 
+def test_quotes_of_parts(spark):
+    """Trimmed quotes, inline answers, blank lines without a mark and short messages link."""
+    one, two, three = "The first paragraph has\ntwo lines of its own.", "A second paragraph is here.", "And the third ends it."
+    rows = [
+        (1, 0, f"{one}\n\n{two}\n\n{three}"),
+        (1, 1, "Something else altogether.\nThank you very much."),
+        (1, 2, f"> {two}\nTrimmed to a paragraph."),
+        (1, 3, "> two lines of its own.\nTrimmed to a line."),
+        (1, 4, "> The first paragraph has\n> two lines of its own.\nfirst answer\n> A second paragraph is here.\nsecond answer"),
+        (1, 5, "> The first paragraph has\n> two lines of its own.\n\n> A second paragraph is here.\n\n> And the third ends it.\nNo marks on blank lines."),
+        (1, 6, "Yes."),
+        (1, 7, "Another message stands between."),
+        (1, 8, "> yes.\nShort, but a whole message."),
+        (1, 9, "> And the third ends it.\n> [...] cut\n> A second paragraph is here.\n> Thank you very much.\nMost of it is from turn 0."),
+        (2, 0, f"> {three}\nQuoted from elsewhere."),
+        (2, 1, "> Yes.\nToo short to be foreign."),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.linked(df).collect()}
+    assert len(out) == len(rows)
+    assert {t: out[1, t]["parent_turn"] for t in (2, 3, 4, 5, 8, 9)} == {2: 0, 3: 0, 4: 0, 5: 0, 8: 6, 9: 0}
+    assert all(out[1, t]["linked"] for t in (2, 3, 4, 5, 8, 9)) and not out[1, 7]["linked"]
+    assert out[2, 0]["foreign_conv"] == 1 and not out[2, 0]["linked"] and out[2, 1]["foreign_conv"] is None
+
+
 # pipeline
 
 
