@@ -3,10 +3,12 @@
 Every document is tokenised whole and ended with token END.  Its full windows stand
 alone; the rest is placed into the open fill level that minimises the sum of squared
 counts of partially filled windows, kept in an array by level (ties: the fullest).
-No document is cut otherwise while it is placed.  Beyond MOST_OPEN open windows, and
-at a task's end, the open windows are poured together: their pieces, fullest windows
-first, fill windows of WIDTH, cut where one ends.  What is left at a task's end is
-cut at powers of two (its binary digits), so no sequence needs padding.
+No document is cut otherwise while it is placed.  At a task's end the open windows
+are poured together: their pieces, fullest windows first, fill windows of WIDTH, cut
+where one ends.  Beyond MOST_OPEN open windows the fullest eighth of them is poured,
+what doesn't fill a window stays open, and the other levels stay as they are.  What
+is left at a task's end is cut at powers of two (its binary digits), so no sequence
+needs padding.
 
 Each task packs what it reads: one map pass, no shuffle, memory bounded by MOST_OPEN
 windows.  sequence_id holds the task's number in its high bits.
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 
 WIDTH = 4096
 END = 2
-MOST_OPEN = 256
+#: at most 64 MB of ids
+MOST_OPEN = 4096
 CACHE_ENTRIES = 250_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -192,10 +195,11 @@ class Packer:
         self.level.setdefault(h, []).append(window)
 
     def _pour(self, last: bool) -> None:
-        """Full windows from the pieces of the open ones; the rest stays open, or is cut at powers of two."""
-        pieces = [p for h in sorted(self.level, reverse=True) for w in self.level[h] for p in w]
-        self.level, self.open = {}, 0
-        self.count[:] = 0
+        """Full windows from the pieces of the fullest open ones, or of all; the rest stays open, or is cut at powers of two."""
+        pieces, least = [], 0 if last else self.most_open - max(1, self.most_open // 8)
+        for h in np.flatnonzero(self.count)[::-1].tolist():
+            while self.count[h] and self.open > least:
+                pieces += self._take(h)
         left = sum(len(p[2]) // 4 for p in pieces)
         window, room = [], 0
         for doc, start, ids, total in pieces:

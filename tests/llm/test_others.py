@@ -94,6 +94,27 @@ def test_packing_rule_is_sum_of_squares():
         assert (packer.count[1:16] == counts[1:16]).all()
 
 
+def test_packing_pours_only_the_fullest_windows():
+    rng, rows = random.Random(3), []
+    packer = packing.Packer(0, rows.append, width=64, most_open=40)
+    total = poured = 0
+    for i in range(3000):
+        size, before = rng.randint(1, 63), packer.count.copy()
+        packer.put(i, np.arange(size, dtype="<u4").tobytes())
+        total += size
+        gone = np.maximum(before - packer.count, 0)
+        if gone.sum() > 1:  # placing a piece takes one window at most
+            poured += 1
+            assert packer.open >= 35 and gone.sum() <= 7
+        assert packer.open <= 40 and packer.open == packer.count.sum() == sum(len(w) for w in packer.level.values())
+    packer.close()
+    assert poured and sum(r[2] for r in rows) == total
+    sequences = {}
+    for r in rows:
+        sequences[r[5]] = sequences.get(r[5], 0) + r[2]
+    assert all(n <= 64 and n & (n - 1) == 0 for n in sequences.values())
+
+
 # quality
 
 
