@@ -37,6 +37,11 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("headers", "mime", "date")
 
 
+def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole records, header blocks included."""
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_url_filters,
         op4_benchmark_decontamination,
         op5_warc_derivatives,
+        op5_warc_records,
         op6_jaccard_join,
         op7_packing,
         op8_embedding_dedup,

@@ -205,6 +205,27 @@ def test_warc(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_records_are_whole(spark, tmp_path):
+    import hashlib
+    import html
+
+    from sparkloom.llm import queries
+
+    texts = ["&amp;lt; &lt;b&gt;", "plain"]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{t}</p>") for i, t in enumerate(texts)] + [(99, None, None)], "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    out = queries.op5_warc_records(spark, str(tmp_path)).collect()
+    assert len(out) == 2 * len(texts) + 2
+    for r in out:
+        digest = hashlib.sha256(r["block"].encode()).hexdigest()
+        assert r["headers"].split("\r\n") == [
+            "WARC/1.1", f"WARC-Type: {r['kind']}", f"WARC-Record-ID: {r['record_id']}", f"WARC-Refers-To: {r['refers_to']}", f"WARC-Target-URI: {r['target_uri']}",
+            "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Block-Digest: sha256:{digest}", f"Content-Type: {r['mime']}", f"Content-Length: {len(r['block'].encode())}",
+        ]
+        if r["kind"] == "conversion" and r["page_id"] != 99:
+            assert r["block"] == re.sub(r"[ \t\r\f]+", " ", html.unescape(texts[r["page_id"]])).strip(" \n")
+
+
 # quotations
 
 
