@@ -38,8 +38,8 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole records, header blocks included."""
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    """The whole records, header blocks included, with every entity decoded."""
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), every_entity=True)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ digest and length; ids are derived from the response's id and the kind, so a run
 repeated after a failure gives the same records.
 
 Text: comments, scripts, styles and heads go; block ends become line feeds and other
-tags go; the named entities of ENTITIES are decoded, ``&amp;`` last; blanks are
-squeezed and empty lines dropped.
+tags go; the named entities of ENTITIES are decoded, ``&amp;`` last, or, with
+``every_entity``, all of HTML's table and all numeric references in one pass; blanks
+are squeezed and empty lines dropped.
 
 Scale: narrow DataFrame functions only, no shuffle, memory of one page.  Defined
 results: a null html counts as an empty payload; a null url gives an empty target;
@@ -17,11 +18,21 @@ repeated rows give repeated records (alike in every field); extra columns are no
 
 from __future__ import annotations
 
+import html as markup
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: the entities decoded
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: the names that need no semicolon, longest first
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
+NAMED = html5 | {"nbsp;": " ", "nbsp": " ", "NonBreakingSpace;": " "}
+#: numbers that don't stand for their own character: controls, Windows-1252, non-characters; and those that blanks or UTF-32 need
+NUMBERED = {n: c for n in [*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | e for p in range(17) for e in (0xFFFE, 0xFFFF))] if (c := markup.unescape(f"&#{n};")) != chr(n)}
+NUMBERED |= {160: " ", 0xFEFF: "\ufeff"}
 DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BREAK = r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|table|ul|ol|title)\s*>|<br\s*/?>"
 TAG = r"<[^>]*>"
@@ -48,18 +59,40 @@ def uuid_of(hexes):
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
 
 
-def page_text(html):
+def _literal(entries: dict):
+    return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
+
+
+def _decoded(text):
+    """text with its references decoded; unknown names stay."""
+    named, numbered = _literal(NAMED), _literal(NUMBERED)
+
+    def char(ref):
+        digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(F.substring(ref, 3, 1).isin("x", "X"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        number = F.when(code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(numbered, code.cast("int")), own))
+        return F.when(F.startswith(ref, F.lit("&#")), number).otherwise(F.coalesce(F.try_element_at(named, F.substring(ref, 2, 64)), ref))
+
+    between, refs = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    joined = F.array_join(F.zip_with(between, refs, lambda t, ref: F.concat(t, F.when(ref.isNull(), F.lit("")).otherwise(char(ref)))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
+def page_text(html, every_entity: bool = False):
     out = F.regexp_replace(html, DROP, " ")
     out = F.regexp_replace(out, BREAK, "\n")
     out = F.regexp_replace(out, TAG, " ")
-    for name, char in ENTITIES:
+    if every_entity:
+        out = _decoded(out)
+    for name, char in () if every_entity else ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
     return F.btrim(out, F.lit(" \n"))
 
 
-def derivatives(records: DataFrame) -> DataFrame:
+def derivatives(records: DataFrame, every_entity: bool = False) -> DataFrame:
     """Two rows for each response: kind, record_id, refers_to, headers, block, block_digest, content_length."""
     base = records.select(
         "page_id",
@@ -76,7 +109,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 F.col("payload_digest").alias("source_digest"),
             )
         ).alias("metadata"),
-        page_text(F.col("payload")).alias("conversion"),
+        page_text(F.col("payload"), every_entity).alias("conversion"),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("kind"), F.lit("application/json").alias("mime"), F.col("metadata").alias("block")),
