@@ -26,10 +26,12 @@ def session():
 
 def profile(a) -> int:
     from sparkloom.operators import constraints, profile, relationships
-    from sparkloom.operators.validate import assert_profile_safe
+    from sparkloom.operators.validate import assert_input_budget, assert_profile_safe
     from sparkloom.sources import readers, writers
 
     held = readers.dataset_folder(session(), a.folder)
+    if not a.no_limits:
+        assert_input_budget(session(), a.folder, held)
     typed = {n: profile.typed_frame(df, profile.infer_types(df)) if all(k == "string" for _, k in df.dtypes) else df for n, df in held.items()}
     out = Dataset([profile.profile(df, n, tuple(a.keep)) for n, df in typed.items()], relationships.relationships(typed), constraints.mine(typed))
     # condition values are source values: without labels of their own they stay out
@@ -62,11 +64,15 @@ def generate(a) -> int:
 
     spark, spec = session(), readers.load_spec(a.spec)
     validate.assert_spec_safe(spec)
+    if not a.no_limits:
+        validate.assert_budget(spec)
     made = generate.generate(spark, spec, keep_row=True)
     held = readers.load_rules(a.rules) if a.rules else None
     if held:
         rules.check_contract(held, spec)
         made = {n: df.drop("__broken") for n, df in rules.apply(made, held, spec.seed, spec.mode, spec.invalid_ratio).items()}
+    if spec.mode not in ("mixed", "negative"):
+        validate.assert_solved_safe(spec, made)
     report = validate.validate(spec, made)
     writers.write_bundle(spark, spec, made, a.out, a.format, held, report)
     print(json.dumps(report))
@@ -118,10 +124,10 @@ def main(argv: list[str] | None = None) -> int:
         if name not in ("validate", "verify"):
             p.add_argument("-o", "--out", required=True)
 
-    command("profile", profile, "folder", keep={"nargs": "*", "default": []})
+    command("profile", profile, "folder", keep={"nargs": "*", "default": []}, **{"no-limits": {"action": "store_true"}})
     command("profile-query", profile_query, "sql", "table", name={"required": True})
     command("plan", plan, "profile", rows={"type": int}, seed={"type": int, "default": 0})
-    command("generate", generate, "spec", rules={}, format={"default": "parquet", "choices": ["csv", "json", "parquet"]})
+    command("generate", generate, "spec", rules={}, format={"default": "parquet", "choices": ["csv", "json", "parquet"]}, **{"no-limits": {"action": "store_true"}})
     command("validate", check, "spec", "folder", rules={})
     command("verify", verify, "folder")
     command("export-postgres", postgres, "spec", "folder")

@@ -138,16 +138,36 @@ def rank_labels(counts: Iterable[int], reserved: Iterable[str] = ()) -> list[dic
     return out
 
 
-def check_local_categories(values: Iterable, name: str, most: int = 20, longest: int = 64) -> list:
-    """Values that may be kept as they are: few short scalars without personal data or free text."""
-    values = list(values)
-    if sensitive_name(name) or field_name(name) == "id" or field_name(name).endswith("_id"):
-        raise ValueError(f"{name}: identifiers and sensitive fields keep no source values")
+#: fixed values: name parts and endings of identifiers, name parts of quasi-identifiers, and semantic types of both
+IDENTIFIER_PARTS = ("uuid", "guid")
+IDENTIFIER_ENDINGS = ("id", "key")
+QUASI_PARTS = ("age", "ip", "latitude", "longitude", "postal", "postcode", "zip")
+QUASI_TYPES = ("identifier", "quasi_identifier", "quasi-identifier")
+
+
+def free_text(value: str) -> bool:
+    return not value or value.count(" ") > 3 or ":" in value
+
+
+def check_local_categories(values: Iterable, name: str, semantic_type: str | None = None, sensitive: bool = False, most: int = 20, longest: int = 64) -> list:
+    """Values that may be kept as they are: few distinct short scalars, of a field that tells nobody apart.
+
+    What the values themselves look like is up to the caller (profile.check_local_categories).
+    """
+    values, own = list(values), field_name(name)
+    parts = own.split("_")
+    if sensitive or sensitive_field(name, semantic_type) or (semantic_type or "").strip().lower() in QUASI_TYPES:
+        raise ValueError(f"{name}: sensitive fields keep no source values")
+    if parts[-1] in IDENTIFIER_ENDINGS or any(p in IDENTIFIER_PARTS for p in parts):
+        raise ValueError(f"{name}: identifiers keep no source values")
+    if any(p in QUASI_PARTS for p in parts):
+        raise ValueError(f"{name}: quasi-identifiers keep no source values")
     if not 0 < len(values) <= most:
         raise ValueError(f"{name}: between 1 and {most} categories may be kept")
-    for v in values:
-        if not isinstance(v, (str, int, float, bool)):
-            raise ValueError(f"{name}: only scalar categories may be kept")
-        if isinstance(v, str) and (not v or len(v) > longest or v.count(" ") > 3 or ":" in v):
-            raise ValueError(f"{name}: free text may not be kept")
+    if any(type(v) not in (str, int, bool) for v in values):
+        raise ValueError(f"{name}: only whole numbers, booleans and text may be kept")
+    if len({(type(v), v) for v in values}) < len(values):
+        raise ValueError(f"{name}: categories must be distinct")
+    if any(len(str(v)) > longest or isinstance(v, str) and free_text(v) for v in values):
+        raise ValueError(f"{name}: free text may not be kept")
     return values

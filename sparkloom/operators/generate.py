@@ -13,6 +13,8 @@ names the fields of a row that were spoiled.
 from __future__ import annotations
 
 import math
+import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,15 +221,41 @@ def spoil(spec: Dataset, tables: dict[str, DataFrame], fast: bool = False) -> di
     return out
 
 
-def generate(spark: SparkSession, spec: Dataset, fast: bool = False, providers: dict | None = None, keep_row: bool = False) -> dict[str, DataFrame]:
-    """All entities of a specification."""
+def generate(spark: SparkSession, spec: Dataset, fast: bool = False, providers: dict | None = None, keep_row: bool = False, provider_seconds: float = 60.0) -> dict[str, DataFrame]:
+    """All entities of a specification.  Providers must give the same values twice, within provider_seconds."""
     check_spec(spec)
+    for (entity, name), provider in (providers or {}).items():
+        check_provider(spark, spec, entity, name, provider, provider_seconds)
     out = solve(spec, {e.name: rows(spark, spec, e, fast, providers) for e in spec.entities})
     if spec.mode in ("mixed", "negative"):
         out = spoil(spec, out, fast)
     return out if keep_row else {n: df.drop(ROW) for n, df in out.items()}
 
 
+def check_provider(spark: SparkSession, spec: Dataset, entity: str, name: str, provider, seconds: float) -> None:
+    """Refuses a provider that isn't reproducible, or takes longer; its jobs are cancelled then."""
+    group, late = f"provider-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.setJobGroup(group, f"replay of {entity}.{name}", True)
+    timer.start()
+    try:
+        differ = replayed(spec, entity, name, provider, spark)
+    except Exception as e:
+        if late.is_set():
+            raise SpecError(f"{entity}.{name}: the provider takes more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    if differ:
+        raise SpecError(f"{entity}.{name}: the provider isn't reproducible")
+
+
 def replayed(spec: Dataset, entity: str, field: str, provider, spark: SparkSession) -> int:
     """How many rows of a provider differ between two evaluations: 0 if it is reproducible."""
     base = spark.range(spec[entity].row_count).withColumnRenamed("id", ROW)

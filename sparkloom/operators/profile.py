@@ -3,21 +3,21 @@
 All measures of all columns of a table come from one aggregation, so a table is
 scanned once whatever its width.  Distinct counts are HyperLogLog++ sketches and
 percentiles are approximate by default: both merge map-side and stay small at any
-size.  ``exact=True`` gives exact ones, for tests and small tables; it expands rows by
-the number of columns and holds distinct values in memory.
+size.  ``exact=True`` gives exact ones; it expands rows by the number of columns and
+shuffles every distinct value once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import parse, privacy
 from sparkloom.model import Entity, Field
 
-MOST_CATEGORIES, MOST_TRACKED, MOST_PATTERNS, SAMPLE = 20, 1000, 10, 100
+MOST_CATEGORIES, MOST_PATTERNS, SAMPLE = 20, 10, 100
+#: Percentiles of a numeric profile, and the share of rows on either side that an exact one puts in order.
+PERCENTILES, BAND = (0.05, 0.95), 0.0005
 IDENTIFIER_UNIQUE = 0.98
 
 
@@ -68,22 +68,43 @@ def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> D
 
 
 def _exact_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Values are counted first, map-side too; distinct counts and percentiles then come from values with their counts."""
+    """Values are counted first, map-side too; all measures come from values with their counts.
+
+    A percentile needs an order.  Sketches bracket each one first, so that only the values
+    between (BAND of the rows on either side) are put in order, and not a column in one task.
+    """
     cells = F.array(*(F.struct(F.lit(n).alias("column_name"), q(n).cast("double").alias("v")) for n in columns))
     counted = df.select(F.inline(cells)).groupBy("column_name", "v").agg(F.count("*").alias("n"))
-    out = counted.groupBy("column_name").agg(
+    plain = counted.groupBy("column_name").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
         F.count("v").alias("distinct_count"),
         F.min("v").alias("min_value"),
         F.max("v").alias("max_value"),
-        F.percentile("v", [0.05, 0.95], F.col("n")).alias("p"),
     )
+    cuts = {f"p{i}": p for i, p in enumerate(PERCENTILES)}
+    around = [x for p in PERCENTILES for x in (max(0.0, p - BAND), min(1.0, p + BAND))]
+    sketched = df.agg(*(F.percentile_approx(q(n).cast("double"), around, 10_000).alias(f"a{i}") for i, n in enumerate(columns)))
+    brackets = melted(sketched, {n: [("at", F.col(f"a{i}"))] for i, n in enumerate(columns)})
+    ends = F.array(*(F.struct(F.lit(c).alias("cut"), F.lit(p).alias("p"), F.col("at")[2 * i].alias("lo"), F.col("at")[2 * i + 1].alias("hi")) for i, (c, p) in enumerate(cuts.items())))
+    ends = brackets.where("at IS NOT NULL").select("column_name", F.inline(ends))
+    held = counted.where("v IS NOT NULL").join(F.broadcast(ends), "column_name")  # a row for each column and percentile
+    key = ["column_name", "cut"]
+    below = held.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("lo"), F.col("n"))), F.lit(0)).alias("below"), F.sum("n").alias("total"), F.first("p").alias("p"))
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("v"))
+    band = held.where("v BETWEEN lo AND hi").select(*key, "v", upto.alias("upto")).join(F.broadcast(below), key)
+    place, reached = F.col("p") * (F.col("total") - 1), F.col("below") + F.col("upto")
+    found = band.groupBy(*key).agg(
+        F.min(F.when(reached > F.floor(place), F.col("v"))).alias("a"), F.min(F.when(reached > F.ceil(place), F.col("v"))).alias("b"), F.first(place).alias("place")
+    )
+    a, b, at = F.col("a"), F.col("b"), F.col("place")
+    value = F.when((a == b) | (F.floor(at) == F.ceil(at)), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b)
+    wide = found.groupBy("column_name").agg(*(F.max(F.when(F.col("cut") == c, value)).alias(c) for c in cuts))
     names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))  # an empty table has its rows too
-    out = names.join(out, "column_name", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "non_null", "distinct_count")})
+    out = names.join(plain, "column_name", "left").join(wide, "column_name", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "non_null", "distinct_count")})
     return out.select(
         "column_name", "row_count", "non_null", null_ratio(F.col("non_null"), F.col("row_count")).alias("null_ratio"), "distinct_count", "min_value", "max_value",
-        F.col("p")[0].alias("p05"), F.col("p")[1].alias("p95"),
+        F.col("p0").alias("p05"), F.col("p1").alias("p95"),
     )
 
 
@@ -186,10 +207,11 @@ def typed_frame(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact: bool = False) -> Entity:
     """Safe profile of a table of scalar columns.
 
-    Text of sensitive columns is never returned: they get masked patterns, and numbers
-    of sensitive columns only a shape.  Categories come back under rank labels, unless
-    their column is in ``keep_values`` and its values pass the checks.  Two jobs in
-    all: one aggregation of every column, one union of small category counts.
+    Text of sensitive columns is never returned: they get the MOST_PATTERNS most frequent
+    masked patterns, and numbers of sensitive columns only a shape.  Categories come back
+    under rank labels, unless their column is in ``keep_values`` and its values pass the
+    checks.  Two jobs in all: one aggregation of every column, one count of the values of
+    all category columns and the patterns of all sensitive ones.
     """
     types = {c: parse.logical_type(df.schema[c].dataType) for c in df.columns}
     measures = [F.count("*").alias("n")]
@@ -215,7 +237,7 @@ def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact:
             measures += [F.min(F.length(x)).alias(f"lo{i}"), F.max(F.length(x)).alias(f"hi{i}")]
             measures += [F.count_if(v == k).alias(f"{k}{i}") for k in ("secret", "email", "ssn", "phone")]
     got = df.agg(*measures).first().asDict()
-    total, fields, category = got["n"], [], []
+    total, fields, category, masked = got["n"], [], [], []
     for i, c in enumerate(df.columns):
         held, distinct, kind = got[f"c{i}"], got[f"d{i}"], types[c]
         semantic = None
@@ -241,23 +263,23 @@ def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact:
             f.distribution = {"kind": f"{kind}_range" if kind == "date" else "datetime_range", "min": got[f"lo{i}"], "max": got[f"hi{i}"]}
         elif kind == "string" and held:
             if f.sensitive:
-                f.distribution = {"kind": "masked_patterns", "patterns": [{"pattern": semantic if privacy.sensitive_type(semantic) else "text", "count": held}]}
+                masked.append(f)
+                f.distribution = {"kind": "masked_patterns", "patterns": []}
             elif distinct <= MOST_CATEGORIES:
                 category.append(c)
             if f.distribution is None:
                 f.distribution = {"kind": "string_pattern", "min_length": got[f"lo{i}"], "max_length": got[f"hi{i}"]}
         fields.append(f)
-    if category:
-        counts = reduce(DataFrame.unionByName, (df.where(q(c).isNotNull()).groupBy(F.lit(c).alias("c"), q(c).alias("v")).count() for c in category))
-        by: dict[str, list] = {}
-        for r in counts.collect():
-            by.setdefault(r["c"], []).append((r["count"], r["v"]))
+    if category or masked:
+        by = _value_counts(df, category, masked)
+        for f in masked:
+            f.distribution["patterns"] = [{"pattern": v, "count": n} for n, v in sorted(by.get(f.name, []), key=lambda x: (-x[0], x[1]))[:MOST_PATTERNS]]
         for f in fields:
             own = sorted(by.get(f.name, []), key=lambda x: (-x[0], x[1]))
-            if not own or len(own) > MOST_CATEGORIES:
+            if f.name not in category or not 0 < len(own) <= MOST_CATEGORIES:
                 continue
             if f.name in keep_values:
-                privacy.check_local_categories([v for _, v in own], f.name)
+                check_local_categories(df.sparkSession, [v for _, v in own], f.name, f.semantic_type, f.sensitive)
                 f.distribution = {"kind": "categorical", "values": [{"value": v, "weight": n} for n, v in own]}
             else:
                 f.distribution = {"kind": "categorical", "values": privacy.rank_labels([n for n, _ in own], [v for _, v in own])}
@@ -265,6 +287,31 @@ def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact:
     return Entity(name, total, fields, None, keys)
 
 
+def _value_counts(df: DataFrame, category: list[str], masked: list[Field]) -> dict[str, list[tuple[int, str]]]:
+    """(count, value) of category columns and (count, masked pattern) of sensitive ones, in one scan; the most frequent of each."""
+    cells = [F.struct(F.lit(c).alias("c"), q(c).cast("string").alias("v")) for c in category]
+    for f in masked:
+        text = parse.cell(q(f.name))
+        kind = privacy.value_type(text)
+        pattern = F.when(kind.isNotNull(), F.lower(kind)).otherwise(privacy.mask_pattern(text, f.semantic_type))
+        cells.append(F.struct(F.lit(f.name).alias("c"), F.when(text.isNotNull(), pattern).alias("v")))
+    counted = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "v"))
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in counted.withColumn("rank", rank).where(F.col("rank") <= MOST_CATEGORIES + 1).collect():
+        out.setdefault(r["c"], []).append((r["n"], r["v"]))
+    return out
+
+
+def check_local_categories(spark, values: list, name: str, semantic_type: str | None = None, sensitive: bool = False) -> list:
+    """The policy of privacy.check_local_categories, with its values held against the content detectors too."""
+    privacy.check_local_categories(values, name, semantic_type, sensitive)
+    kinds = spark.createDataFrame([(str(v),) for v in values], "v string").select(privacy.value_type(F.col("v")).alias("k")).where("k IS NOT NULL")
+    if not kinds.isEmpty():
+        raise ValueError(f"{name}: values hold personal data or secrets")
+    return values
+
+
 def semantic_types(df: DataFrame, columns: list[str], order: Column, sample: int = SAMPLE, share: float = 0.8) -> dict[str, str | None]:
     """Semantic type of text columns: by name, or by what the first values (by order) look like.
 

@@ -53,6 +53,9 @@ def discover(tables: dict[str, DataFrame], contained: float = CONTAINED, is_key=
     """
     order = {name: i for i, name in enumerate(tables)}
     fields = {n: [f for f in df.columns if is_key(f)] for n, df in tables.items()}
+    if not any(fields.values()):
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "child string, child_field string, parent string, parent_field string, confidence double, best boolean")
     cells = _cells(tables, fields)
     total = cells.groupBy("entity", "field").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
     parents = cells.join(total, ["entity", "field"]).where("most = 1").select(F.col("entity").alias("parent"), F.col("field").alias("parent_field"), "value")
@@ -86,29 +89,32 @@ END_PARTS = {"end", "ended", "to", "finish", "closed", "updated"}
 
 
 def candidates(profile: Dataset) -> list[dict]:
-    """Value-free foreign-key and time-order hypotheses, each with an id of its content."""
-    out = []
-    for parent in profile.entities:
-        for key in parent.primary_key_candidates:
-            p = parent[key]
-            for child in profile.entities:
-                for f in child.fields if child.name != parent.name else ():
-                    if f.name == key and _compatible(p, f):
-                        size = round(min(parent.row_count, child.row_count) / max(parent.row_count, child.row_count, 1), 6)
-                        evidence = {
-                            "type_compatibility": 1.0, "parent_unique_ratio": p.unique_ratio, "child_null_ratio": f.null_ratio,
-                            "child_distinct_ratio": f.unique_ratio, "cardinality_ratio": size,
-                        }
-                        score = (1 + p.unique_ratio + 1 - f.null_ratio) / 3
-                        out.append(_candidate("foreign_key", [(parent.name, key), (child.name, f.name)], evidence, score))
+    """Value-free foreign-key and time-order hypotheses, each with an id of its content.
+
+    Keys are indexed by field name and times by their role, so each field is looked at
+    once.  Ids are hashes of our own evidence record; another program's differ.
+    """
+    keys: dict[str, list] = {}
+    for e in profile.entities:
+        for name in e.primary_key_candidates:
+            keys.setdefault(name, []).append((e, e[name]))
+    found = [_key_candidate(parent, p, child, f) for child in profile.entities for f in child.fields for parent, p in keys.get(f.name, ()) if parent.name != child.name and _compatible(p, f)]
     for e in profile.entities:
-        for a in e.fields:
-            for b in e.fields:
-                if _role(a, START_PARTS) and not _role(b, START_PARTS) and _role(b, END_PARTS) and a.data_type == b.data_type:
-                    overlap = _overlap(a, b)
-                    if overlap is not None:
-                        out.append(_candidate("temporal", [(e.name, a.name), (e.name, b.name)], {"type_compatibility": 1.0, "range_overlap": overlap}, (1 + overlap) / 2))
-    return sorted(out, key=lambda c: c["candidate_id"])
+        roles = {f.name: (_role(f, START_PARTS), _role(f, END_PARTS)) for f in e.fields}
+        starts = [f for f in e.fields if roles[f.name][0]]
+        ends = [f for f in e.fields if roles[f.name] == (False, True)]
+        spans = ((a, b, _overlap(a, b)) for a in starts for b in ends if a.data_type == b.data_type)
+        found += [_candidate("temporal", [(e.name, a.name), (e.name, b.name)], {"type_compatibility": 1.0, "range_overlap": o}, (1 + o) / 2) for a, b, o in spans if o is not None]
+    return sorted(found, key=lambda c: c["candidate_id"])
+
+
+def _key_candidate(parent, p: Field, child, f: Field) -> dict:
+    sizes = sorted((parent.row_count, child.row_count))
+    evidence = {
+        "type_compatibility": 1.0, "parent_unique_ratio": p.unique_ratio, "child_null_ratio": f.null_ratio,
+        "child_distinct_ratio": f.unique_ratio, "cardinality_ratio": round(sizes[0] / max(sizes[1], 1), 6),
+    }
+    return _candidate("foreign_key", [(parent.name, p.name), (child.name, f.name)], evidence, (2 + p.unique_ratio - f.null_ratio) / 3)
 
 
 def _candidate(kind: str, at: list[tuple[str, str]], evidence: dict[str, float], score: float) -> dict:

@@ -16,6 +16,7 @@ from sparkloom.operators.profile import q
 from sparkloom.operators.relationships import orphans
 from sparkloom.operators.rule_profiles import aggregated
 from sparkloom.operators.rules import blank
+from sparkloom.shared import file_system
 
 
 def schema_errors(spec: Dataset, tables: dict[str, DataFrame]) -> DataFrame | None:
@@ -62,10 +63,12 @@ def relationship_errors(spec: Dataset, tables: dict[str, DataFrame]) -> DataFram
 
 
 def constraint_errors(spec: Dataset, tables: dict[str, DataFrame]) -> DataFrame | None:
-    """constraint, kind, n: failing rows of each constraint; here a null end of a time order fails."""
-    parts = []
+    """constraint, kind, n: failing rows of each constraint; here a null end of a time order fails.
+
+    One scan of each table for all its row constraints; aggregates are joined each.
+    """
+    parts, by_table = [], {}
     for i, c in enumerate(spec.constraints):
-        df = tables[c.entity]
         if c.kind == "formula":
             bad = ~formula.close(formula.number(c.target), formula.parse(c.expression).column(), c.tolerance)
         elif c.kind == "temporal":
@@ -75,14 +78,21 @@ def constraint_errors(spec: Dataset, tables: dict[str, DataFrame]) -> DataFrame
             bad = F.coalesce(q(c.condition_field).cast("string") == F.lit(str(c.condition_value)), F.lit(False)) & blank(q(c.required_field))
         else:
             r = next((r for r in spec.relationships if (r.parent_entity, r.child_entity) == (c.entity, c.child_entity)), None)
-            if r is None:
-                continue
-            df = df.join(aggregated(tables[c.child_entity], r.child_field, c.child_field, c.aggregate or "sum"), q(r.parent_field) == F.col("__key"), "left")
-            bad = ~formula.close(formula.number(c.target), F.coalesce("__value", F.lit(0.0)), max(c.tolerance, 1e-6))
-        parts.append(df.agg(F.count_if(bad).alias("n")).select(F.lit(i).alias("constraint"), F.lit(c.kind).alias("kind"), "n"))
+            if r is not None:
+                df = tables[c.entity].join(aggregated(tables[c.child_entity], r.child_field, c.child_field, c.aggregate or "sum"), q(r.parent_field) == F.col("__key"), "left")
+                bad = ~formula.close(formula.number(c.target), F.coalesce("__value", F.lit(0.0)), max(c.tolerance, 1e-6))
+                parts.append(_failures(df, [(i, c.kind, bad)]))
+            continue
+        by_table.setdefault(c.entity, []).append((i, c.kind, bad))
+    parts = [_failures(tables[name], tests) for name, tests in by_table.items()] + parts
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _failures(df: DataFrame, tests: list[tuple]) -> DataFrame:
+    wide = df.agg(*(F.count_if(bad).alias(f"t{i}") for i, _, bad in tests))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(i).alias("constraint"), F.lit(kind).alias("kind"), F.col(f"t{i}").alias("n")) for i, kind, _ in tests))))
+
+
 def assert_spec_safe(spec: Dataset) -> None:
     """A sensitive field carries no source statistics or literal values."""
     for e in spec.entities:
@@ -195,13 +205,29 @@ def assert_profile_safe(profile: Dataset) -> None:
                     raise SpecError(f"{e.name}.{f.name}: a pattern is not masked")
 
 
+def assert_solved_safe(spec: Dataset, tables: dict[str, DataFrame]) -> None:
+    """After everything is solved: every sensitive text is of a synthetic form.  Reads all rows once."""
+    found = unsafe_values(spec, tables)
+    bad = [] if found is None else found.where("n > 0").collect()
+    if bad:
+        raise SpecError("; ".join(f"{r['entity']}.{r['field']}: {r['n']} values aren't synthetic" for r in bad))
+
+
 # budgets
 
 #: fixed values: the most that one run may ask for
-LIMITS = {"rows_per_entity": 100_000, "input_rows": 1_000_000, "input_cells": 10_000_000, "columns": 1_000, "files": 100, "input_bytes": 512 << 20}
+LIMITS = {
+    "rows_per_entity": 100_000, "output_bytes": 512 << 20, "input_rows": 1_000_000, "input_cells": 10_000_000, "columns": 1_000, "files": 100, "input_bytes": 512 << 20,
+    "file_bytes": 128 << 20,
+}
 _WIDTH = {"integer": 20, "float": 24, "boolean": 5, "date": 10, "datetime": 32, "string": 64}
 
 
+def _within(limits: dict[str, int], what: str, name: str, n: int) -> None:
+    if n > limits.get(name, n):
+        raise SpecError(f"{what}: {n} {name.replace('_', ' ')}; at most {limits[name]}")
+
+
 def estimated_bytes(spec: Dataset) -> int:
     """Text size of all tables of a specification."""
     return sum(e.row_count * sum(_WIDTH[f.data_type] + 1 for f in e.fields) for e in spec.entities)
@@ -211,6 +237,23 @@ def assert_budget(spec: Dataset, limits: dict[str, int] | None = None) -> None:
     """Refuses a specification beyond the limits; pass larger ones (or {}) on a cluster."""
     limits = LIMITS if limits is None else limits
     for e in spec.entities:
-        for name, n in (("rows_per_entity", e.row_count), ("columns", len(e.fields))):
-            if n > limits.get(name, n):
-                raise SpecError(f"{e.name}: {n} {name.replace('_', ' ')}; at most {limits[name]}")
+        _within(limits, e.name, "rows_per_entity", e.row_count)
+        _within(limits, e.name, "columns", len(e.fields))
+    _within(limits, "the tables", "output_bytes", estimated_bytes(spec))
+
+
+def assert_input_budget(spark, folder: str, tables: dict[str, DataFrame], limits: dict[str, int] | None = None) -> None:
+    """Refuses a folder beyond the limits: files and bytes before anything is read, then rows and cells."""
+    limits = LIMITS if limits is None else limits
+    at, fs = file_system(spark, folder)
+    sizes = {str(s.getPath().getName()): fs.getContentSummary(s.getPath()).getLength() for s in fs.listStatus(at)}
+    _within(limits, folder, "files", len(sizes))
+    _within(limits, folder, "input_bytes", sum(sizes.values()))
+    for name, size in sizes.items():
+        _within(limits, name, "file_bytes", size)
+    for name, df in tables.items():
+        _within(limits, name, "columns", len(df.columns))
+        if "input_rows" in limits or "input_cells" in limits:
+            n = df.count()
+            _within(limits, name, "input_rows", n)
+            _within(limits, name, "input_cells", n * len(df.columns))

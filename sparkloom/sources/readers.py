@@ -6,12 +6,15 @@ from Spark's inference, which accepts another language.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import hashlib
+import io
 import json
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,16 +24,17 @@ from sparkloom.functions import parse
 from sparkloom.functions.draws import ROW
 from sparkloom.model import Dataset, Entity, Field, SpecError, dataset_from_dict
 from sparkloom.operators.rules import Rules, rules_from_dict
+from sparkloom.shared import file_system
 
 SAMPLE_BYTES, DELIMITERS = 8192, ",;\t|"
+MOST_HEADER = 64 << 20
 MOST_DEPTH, MOST_DOCUMENT = 50, 16 << 20
 
 
 def _head(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
     """The first bytes of a file of any store that Spark reads."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at, fs = file_system(spark, path)
     if fs.getFileStatus(at).isDirectory():  # as Spark writes tables
         parts = [p for p in _children(spark, path) if p.rsplit("/", 1)[-1].startswith("part-")]
         if not parts:
@@ -43,20 +47,60 @@ def _head(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
         stream.close()
 
 
+def decoded(head: bytes) -> tuple[str, str]:
+    """Encoding and text of a file's beginning; a character cut at its end is left out."""
+    try:
+        return "UTF-8", codecs.getincrementaldecoder("utf-8-sig")().decode(head)
+    except UnicodeDecodeError:
+        return "ISO-8859-1", head.decode("latin-1")
+
+
 def sniff(head: bytes) -> dict[str, str]:
     """Encoding and delimiter of a CSV file's beginning."""
-    encoding = "UTF-8"
-    try:
-        text = head.decode("utf-8-sig")
-    except UnicodeDecodeError as e:
-        if e.start < len(head) - 4:
-            encoding = "ISO-8859-1"
-        text = head.decode("latin-1")
+    encoding, text = decoded(head[:SAMPLE_BYTES])
     try:
         sep = csv.Sniffer().sniff(text, DELIMITERS).delimiter
     except csv.Error:
         sep = ","
-    return {"encoding": encoding, "sep": sep, "text": text}
+    return {"encoding": encoding, "sep": sep}
+
+
+def record_end(text: str, sep: str) -> int:
+    """Where the first record ends, or -1 if the text ends before it does."""
+    quoted, opens, at = False, True, 0
+    while at < len(text):
+        c = text[at]
+        if quoted:
+            if c == '"':
+                if text[at + 1 : at + 2] == '"':
+                    at += 1
+                else:
+                    quoted = False
+        elif c in "\r\n":
+            return at
+        elif c == '"' and opens:
+            quoted = True
+        opens = not quoted and c == sep
+        at += 1
+    return -1
+
+
+def csv_header(spark: SparkSession, path: str) -> tuple[list[str], dict[str, str]]:
+    """Checked column names and the dialect of a CSV file; the header is read to its end, however long."""
+    n = SAMPLE_BYTES
+    head = _head(spark, path, n)
+    found = sniff(head)
+    while True:
+        text = decoded(head)[1] if found["encoding"] == "UTF-8" else head.decode("latin-1")
+        end = record_end(text, found["sep"])
+        if end >= 0 or len(head) < n:
+            break
+        if n >= MOST_HEADER:
+            raise SpecError(f"{path}: the header doesn't end within {MOST_HEADER} bytes")
+        n *= 8
+        head = _head(spark, path, n)
+    record = text if end < 0 else text[:end]
+    return check_header(next(csv.reader(io.StringIO(record, newline=""), delimiter=found["sep"]), [])), found
 
 
 def check_header(names: list[str]) -> list[str]:
@@ -68,19 +112,28 @@ def check_header(names: list[str]) -> list[str]:
     return names
 
 
-def csv_file(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; every column is text."""
-    found = sniff(_head(spark, path))
-    rows = csv.reader(found["text"].splitlines(), delimiter=found["sep"])
-    names = check_header(next(rows, []))
+def breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a cell may hold a line break: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def csv_file(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """A CSV file with a header; every column is text.
+
+    A file whose cells hold line breaks can't be split, so one task reads it; whether any
+    does is looked up in a pass of its own (which ends at the first), unless the caller
+    says so in multi_line.
+    """
+    names, found = csv_header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {"header": True, "sep": found["sep"], "encoding": found["encoding"], "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": True}
-    return spark.read.schema(schema).options(**options).csv(path)
+    whole = breaks_lines(spark, path) if multi_line is None else multi_line
+    options = {"header": True, "sep": found["sep"], "encoding": found["encoding"], "quote": '"', "escape": '"', "multiLine": whole, "enforceSchema": True}
+    return spark.read.schema(schema).options(**options, maxColumns=max(20480, len(names) + 1)).csv(path)
 
 
 def _children(spark: SparkSession, folder: str) -> list[str]:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at, fs = file_system(spark, folder)
     return sorted(str(s.getPath().toString()) for s in fs.listStatus(at))
 
 
@@ -98,7 +151,7 @@ def dataset_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     out: dict[str, DataFrame] = {}
     for p in _children(spark, folder):
         kind = p.rstrip("/").rsplit(".", 1)[-1].lower()
-        if kind not in ("csv", "json", "parquet") or stem(p) in ("profile", "validation_report") or p.endswith("manifest.json"):
+        if kind not in ("csv", "json", "parquet") or p.endswith(("/profile.json", "/validation_report.json", "manifest.json")):
             continue
         if stem(p) in out:
             raise SpecError(f"two files hold {stem(p)}")
@@ -113,10 +166,18 @@ def dataset_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with ROW: the place of each row in the files, from 0, counted by partition (no single-task window)."""
-    held = df.withColumns({"__part": F.spark_partition_id(), "__mono": F.monotonically_increasing_id()})
+    """df with ROW: the place of each row, from 0.
+
+    Rows of files count by file name, then place in the file; others by partition.  Counts
+    are taken for each block of a file (or partition) and added up over those alone.
+    """
+    try:
+        held = df.withColumns({"__part": F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))})
+    except AnalysisException:
+        held = df.withColumn("__part", F.struct(F.lit("").alias("file"), F.spark_partition_id().cast("bigint").alias("at")))
+    held = held.withColumn("__mono", F.monotonically_increasing_id())
     counts = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__mono").alias("__first"))
-    offset = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offset = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(offset), F.lit(0))).select("__part", "__first", "__base")
     return held.join(base, "__part").withColumn(ROW, F.col("__mono") - F.col("__first") + F.col("__base")).drop("__part", "__mono", "__first", "__base")
 
@@ -252,8 +313,7 @@ def catalog(spark: SparkSession, allowed: set[str] | None = None) -> list[dict[s
 
 def folder_fingerprint(spark: SparkSession, folder: str, *settings: Any) -> str:
     """Key of a profile cache: names, sizes and times of the files, and every setting that shapes the profile."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at, fs = file_system(spark, folder)
     files = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
     return hashlib.sha256(json.dumps([files, settings], default=str, sort_keys=True).encode()).hexdigest()
 

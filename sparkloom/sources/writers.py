@@ -13,13 +13,14 @@ import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.draws import ROW
 from sparkloom.model import Dataset, SpecError
 from sparkloom.operators.profile import q
 from sparkloom.operators.rules import Rules
+from sparkloom.shared import file_system
 
 FORMULA = r"^[ \t\r\n]*[=+\-@]|^[\t\r\n]"
 POSTGRES = {"bigint": "BIGINT", "int": "BIGINT", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}
@@ -44,7 +45,8 @@ def neutralised(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    neutralised(df).write.option("header", True).option("escape", '"').csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    neutralised(df).write.options(header=True, escape='"', **keep).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -139,49 +141,73 @@ def _insert(df: DataFrame, table: str) -> Column:
 # bundles
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+#: Files from this size on are hashed as streams, one after the other.
+LARGE = 1 << 30
 
 
-def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """path (within the folder) and sha256 of every data file, computed where the data is."""
+def content_hashes(spark: SparkSession, folder: str, large: int = LARGE) -> DataFrame:
+    """path (within the folder) and sha256 of every data file; files below ``large`` bytes are hashed by the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    base = folder.rstrip("/").split("://")[-1].split("file:")[-1]
+    root, fs = file_system(spark, folder)
+    base = fs.makeQualified(root).toUri().getPath().rstrip("/")
+    own = files.where(F.col("length") < large).select("path", F.sha2("content", 256).alias("sha256"))
+    digest = spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils
+    streamed = []
+    for r in files.where(F.col("length") >= large).select("path").collect():
+        at, _ = file_system(spark, r["path"])
+        stream = fs.open(at)
+        try:
+            streamed.append((r["path"], digest.sha256Hex(stream)))
+        finally:
+            stream.close()
+    if streamed:
+        own = own.unionByName(spark.createDataFrame(streamed, "path string, sha256 string"))
     name = F.regexp_extract("path", re.escape(base) + "/(.*)$", 1)
-    return files.select(name.alias("path"), F.sha2("content", 256).alias("sha256")).where("path NOT LIKE '%manifest.json' AND path NOT LIKE '%\\_SUCCESS' AND path NOT LIKE '%.crc'")
+    skipped = "path NOT LIKE '%generation_manifest.json' AND path NOT LIKE '%\\_SUCCESS' AND path NOT LIKE '%.crc'"
+    return own.select(name.alias("path"), "sha256").where(skipped)
 
 
 def write_bundle(
-    spark: SparkSession, spec: Dataset, tables: dict[str, DataFrame], folder: str, kind: str = "parquet", rules: Rules | None = None, report: dict[str, Any] | None = None
-) -> dict[str, Any]:
-    """Tables, specification, report and manifest, all or nothing; an existing folder is refused."""
+    spark: SparkSession, spec: Dataset, tables: dict[str, DataFrame], folder: str, kind: str = "parquet", rules: Rules | None = None, report: dict[str, Any] | None = None,
+    profile: Dataset | None = None,
+) -> dict[str, Any]:
+    """Tables, specification, profile, report and manifest, all or nothing; an existing folder is refused.
+
+    Rows are counted while they are written.
+    """
     writer = {"csv": write_csv, "json": write_json, "parquet": write_parquet}[kind]
     staging = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex[:8]}"
-    at, fs = _fs(spark, folder)
+    at, fs = file_system(spark, folder)
     if fs.exists(at):
         raise SpecError(f"{folder} is there already")
+    counts = {}
     for name, df in tables.items():
-        writer(df.drop(ROW), f"{staging}/{safe_name(name)}.{kind}")
+        seen = Observation()
+        writer(df.drop(ROW).observe(seen, F.count("*").alias("n")), f"{staging}/{safe_name(name)}.{kind}")
+        counts[name] = seen.get["n"]
+    import yaml
+
+    put_text(spark, f"{staging}/dataset_spec.yaml", yaml.safe_dump(json.loads(json.dumps(spec.as_dict(), default=str)), sort_keys=True))
+    if profile is not None:
+        put_text(spark, f"{staging}/profile.json", json.dumps(profile.as_dict(), default=str, sort_keys=True, indent=1))
+    put_text(spark, f"{staging}/validation_report.json", json.dumps(report or {}, default=str, sort_keys=True, indent=1))
     manifest = {
         "seed": spec.seed,
         "mode": spec.mode,
         "spec_sha256": spec.fingerprint(),
         "rules_sha256": rules.fingerprint() if rules else None,
-        "row_counts": {n: df.count() for n, df in tables.items()},
+        "row_counts": counts,
         "files": {r["path"]: r["sha256"] for r in content_hashes(spark, staging).orderBy("path").collect()},
     }
-    put_text(spark, f"{staging}/dataset_spec.manifest.json", json.dumps(spec.as_dict(), default=str, sort_keys=True, indent=1))
-    put_text(spark, f"{staging}/validation_report.manifest.json", json.dumps(report or {}, default=str, sort_keys=True, indent=1))
     put_text(spark, f"{staging}/generation_manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
-    source, _ = _fs(spark, staging)
+    source, _ = file_system(spark, staging)
     if not fs.rename(source, at):
         raise SpecError(f"{folder} can't be published")
     return manifest
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    at, fs = _fs(spark, path)
+    at, fs = file_system(spark, path)
     out = fs.create(at, True)
     try:
         out.write(bytearray(text.encode()))

@@ -7,8 +7,9 @@ HyperLogLog sketches) kept as a table by batch, so a replayed batch replaces its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.operators.profile import melted, q
 
@@ -24,20 +25,30 @@ def windowed(events: DataFrame, time: str, value: str, keys: list[str], width: s
     )
 
 
+def measured(c: Column, data_type: T.DataType) -> tuple[str, Column]:
+    """What bounds are kept of a column, and in which unit: numbers, seconds since 1970, or the length of anything else."""
+    if isinstance(data_type, T.NumericType):
+        return "number", c.cast("double")
+    if isinstance(data_type, T.BooleanType):
+        return "number", c.cast("int").cast("double")
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "seconds", c.cast("timestamp").cast("double")
+    return "length", F.length(c.cast("string")).cast("double")
+
+
 def measures(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, row_count, non_null, min_text, max_text, sketch: partial profiles that merge."""
+    """column_name, unit, row_count, non_null, low, high, sketch: partial profiles that merge."""
     wide, parts = [F.count("*").alias("n")], {}
     for i, name in enumerate(columns):
-        c = q(name).cast("string")
-        wide += [F.count(c).alias(f"c{i}"), F.min(q(name).cast("double") if df.schema[name].dataType.simpleString() in ("int", "bigint", "double") else F.length(c).cast("double")).alias(f"lo{i}")]
-        wide += [F.max(q(name).cast("double") if df.schema[name].dataType.simpleString() in ("int", "bigint", "double") else F.length(c).cast("double")).alias(f"hi{i}"), F.hll_sketch_agg(F.coalesce(c, F.lit(""))).alias(f"s{i}")]
-        parts[name] = [("row_count", F.col("n")), ("non_null", F.col(f"c{i}")), ("low", F.col(f"lo{i}")), ("high", F.col(f"hi{i}")), ("sketch", F.col(f"s{i}"))]
+        unit, value = measured(q(name), df.schema[name].dataType)
+        wide += [F.count(q(name)).alias(f"c{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}"), F.hll_sketch_agg(q(name).cast("string")).alias(f"s{i}")]
+        parts[name] = [("unit", F.lit(unit)), ("row_count", F.col("n")), ("non_null", F.col(f"c{i}")), ("low", F.col(f"lo{i}")), ("high", F.col(f"hi{i}")), ("sketch", F.col(f"s{i}"))]
     return melted(df.agg(*wide), parts)
 
 
 def merged(parts: DataFrame) -> DataFrame:
     """Partial profiles of any number of batches as one."""
-    return parts.groupBy("column_name").agg(
+    return parts.groupBy("column_name", "unit").agg(
         F.sum("row_count").alias("row_count"),
         F.sum("non_null").alias("non_null"),
         F.min("low").alias("low"),
