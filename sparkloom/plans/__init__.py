@@ -3,9 +3,11 @@
 from sparkloom.plans.generation import GENERATION
 from sparkloom.plans.profiling import PROFILING
 from sparkloom.plans.rules import RULES
+from sparkloom.plans.safety import SAFETY
+from sparkloom.plans.scans import SCANS
 
 FLAGSHIP = "column_profile_lineitem"
-_ALL = PROFILING + RULES + GENERATION
+_ALL = PROFILING + RULES + GENERATION + SCANS + SAFETY
 
 
 def queries() -> dict:

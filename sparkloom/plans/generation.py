@@ -151,5 +151,5 @@ GENERATION = [
     ("aggregate_solve", totals, "SELECT c_custkey, round(coalesce(v, 0.0), 2)::DOUBLE AS total FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1) ON c_custkey = o_custkey"),
     ("scenarios_orders", scenarios, SCENARIOS),
     ("csv_neutralise", csv_cells, CSV_CELLS),
-    ("insert_sql_region", lambda s, d: writers.insert_statements(table(s, d, "region").select("r_regionkey", "r_name"), "region"), "SELECT 'INSERT INTO \"region\" (\"r_regionkey\", \"r_name\") VALUES (' || r_regionkey || ', ''' || replace(r_name, '''', '''''') || ''');' AS value FROM region"),
+    ("insert_sql_orders", lambda s, d: writers.insert_statements(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "orders"), "SELECT 'INSERT INTO \"orders\" (\"o_orderkey\", \"o_custkey\", \"o_orderpriority\") VALUES (' || o_orderkey || ', ' || o_custkey || ', ''' || replace(o_orderpriority, '''', '''''') || ''');' AS value FROM orders"),
 ]

@@ -137,8 +137,8 @@ NATION = " UNION ALL ".join(
 
 
 def safe_rows(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("sparkloom_part")
-    return query_source.safe_select(spark, "SELECT p_partkey, p_size FROM sparkloom_part WHERE p_partkey <= 50 LIMIT 1000", {"sparkloom_part": {"p_partkey", "p_size"}})
+    table(spark, d, "nation").createOrReplaceTempView("sparkloom_nations")
+    return query_source.safe_select(spark, "SELECT n_nationkey, n_regionkey FROM sparkloom_nations LIMIT 1000", {"sparkloom_nations": {"n_nationkey", "n_regionkey"}})
 
 
 def masked_customers(spark, d):
@@ -202,7 +202,7 @@ PROFILING = [
     ("fk_coverage_labels_documents", lambda s, d: relationships.coverage(table(s, d, "labels"), "doc_id", table(s, d, "documents"), "doc_id"), _coverage_sql("labels", "doc_id", "documents", "doc_id")),
     ("fk_discovery", fk_discovery, FK_DISCOVERY),
     ("query_source_nation", nation_source, NATION),
-    ("safe_select_part", safe_rows, "SELECT p_partkey, p_size FROM part WHERE p_partkey <= 50"),
+    ("safe_select_nation", safe_rows, "SELECT n_nationkey, n_regionkey FROM nation"),
     ("mask_rows_customer", masked_customers, "SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN '[MASKED]' END AS c_name, c_mktsegment FROM customer"),
     ("event_windows", event_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS row_count, count(value) AS non_null, min(value) AS min_value, max(value) AS max_value, coalesce(bool_or(value < 0), false) AS has_negative FROM events GROUP BY 1, 2"),
 ]

@@ -373,6 +373,64 @@ def test_csv(spark, tmp_path):
             readers.csv_file(spark, str(tmp_path / "bad.csv"))
 
 
+def put(path, data: bytes) -> str:
+    path.write_bytes(data)
+    return str(path)
+
+
+def test_csv_header_is_read_to_its_end(spark, tmp_path):
+    names = [f"measure_column_{i:04d}" for i in range(1000)]
+    df = readers.csv_file(spark, put(tmp_path / "wide.csv", (",".join(names) + "\n" + ",".join(map(str, range(1000))) + "\n").encode()))
+    assert df.columns == names and df.first()[999] == "999"
+
+
+def test_csv_header_may_end_inside_a_character(spark, tmp_path):
+    head = "a" * (readers.SAMPLE_BYTES - 3) + ",naïve\n1,2\n"
+    assert len(head[: head.index("ï")].encode()) == readers.SAMPLE_BYTES  # the sample ends inside the letter
+    for pad in ("", "b", "bb"):
+        df = readers.csv_file(spark, put(tmp_path / f"cut{pad}.csv", (pad + head).encode()))
+        assert df.columns[1] == "naïve" and df.first()[1] == "2"
+
+
+def test_csv_header_with_line_breaks(spark, tmp_path):
+    df = readers.csv_file(spark, put(tmp_path / "broken.csv", b'"first\nname","say ""hi"""\n"x\ny",2\n'))
+    assert df.columns == ["first\nname", 'say "hi"'] and [tuple(r) for r in df.collect()] == [("x\ny", "2")]
+
+
+def test_csv_is_split_unless_cells_hold_line_breaks(spark, tmp_path):
+    plain, broken = put(tmp_path / "plain.csv", b"a,b\n1,2\n3,4\n"), put(tmp_path / "cells.csv", b'a,b\n1,"x\ny"\n')
+    assert not readers.breaks_lines(spark, plain) and readers.breaks_lines(spark, broken)
+    assert readers.csv_file(spark, plain).count() == 2 and readers.csv_file(spark, broken).first()["b"] == "x\ny"
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from sparkloom import shared
+
+    from unittest.mock import MagicMock
+
+    cluster = MagicMock()
+    cluster.conf.get.return_value = ""
+    cluster.sparkContext.master = "spark://elsewhere:7077"
+    cluster.sparkContext._jsc.sc.return_value.getCheckpointDir.return_value.isDefined.return_value = False
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(cluster)
+    assert shared.shared_dir(spark).startswith("file:")
+
+
+def test_large_files_are_hashed_as_streams(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    by = lambda large: {r["path"]: r["sha256"] for r in writers.content_hashes(spark, str(tmp_path / "t"), large).collect()}
+    assert by(1 << 30) == by(1) and by(1)
+
+
+def test_stream_measures_are_typed(spark):
+    df = spark.sql("SELECT CAST(x AS decimal(9,2)) AS d, CAST('2024-01-02' AS date) AS t, x > 6 AS b, 'abc' AS s FROM VALUES (5.25), (100.5) v(x)")
+    got = {r["column_name"]: (r["unit"], r["low"], r["high"]) for r in profile_stream.merged(profile_stream.measures(df, df.columns)).collect()}
+    assert got == {"d": ("number", 5.25, 100.5), "t": ("seconds", 1704153600.0, 1704153600.0), "b": ("number", 0.0, 1.0), "s": ("length", 3.0, 3.0)}
+    empty = profile_stream.merged(profile_stream.measures(df.where("false"), ["d"])).first()
+    assert (empty["row_count"], empty["low"], empty["approx_distinct"]) == (0, None, 0)
+
+
 def test_dataset_folder(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2}]')
     spark.range(3).write.parquet(str(tmp_path / "b.parquet"))

@@ -22,7 +22,7 @@ def test_entry_runs(spark, sf):
 
 def test_every_query_runs(spark, sf):
     for name, query in plans.queries().items():
-        assert query(spark, sf).columns, name
+        assert query(spark, sf).collect() is not None, name
 
 
 def test_imports_without_the_corpus_operators(tmp_path):
