@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.shared import file_system, fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,21 +21,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    where = spark.conf.get("spark.checkpoint.dir", "")
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else ""
-    if not where:
-        where = "/tmp/checkpoints"  # unset only in tests and on a single machine
-    return where
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df cut from its lineage: written once in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sparkloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -44,9 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame, collect: bool = True) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
     for df in tables:
-        spark = df.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        at, fs = file_system(df.sparkSession, df.written_to)
+        fs.delete(at, True)
     if not collect:
         return
     gc.collect()
