@@ -134,14 +134,36 @@ WINDOW w AS (PARTITION BY m.conv_id ORDER BY m.turn NULLS FIRST, m.role NULLS FI
 """
 
 _UUID = "'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
-_TEXT = r"""trim(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(replace(replace(
-    regexp_replace(regexp_replace(regexp_replace(payload,
+def _entities() -> tuple[str, str]:
+    """SQL lists of HTML's names (with ``;`` where it belongs to them) and of what they stand for; and of odd numbers."""
+    import html
+    from html.entities import html5
+
+    quoted = lambda t: "'" + t.replace("'", "''") + "'" if t.isprintable() or t == "" else " || ".join(f"chr({ord(c)})" for c in t)
+    odd = {n: html.unescape(f"&#{n};") for n in [*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | e for p in range(17) for e in (0xFFFE, 0xFFFF))]}
+    pick = lambda held: (f"[{', '.join(map(str, (quoted(k) if isinstance(k, str) else k for k in held)))}]", f"[{', '.join(quoted(v) for v in held.values())}]")
+    names, numbers = pick(html5), pick(odd)
+    bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    return f"SELECT {names[0]} AS names, {names[1]} AS chars, {numbers[0]} AS odd, {numbers[1]} AS meant", bare
+
+
+_ENTITIES, _BARE = _entities()
+_REF = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_HEX = "CASE WHEN lower(substr(x, 3, 1)) = 'x' THEN try_cast('0x' || regexp_extract(x, '^&#[xX]([0-9a-fA-F]+)', 1) AS BIGINT) ELSE try_cast(regexp_extract(x, '^&#([0-9]+)', 1) AS BIGINT) END"
+_NUMBER = f"""CASE WHEN ({_HEX}) IS NULL OR ({_HEX}) > 1114111 OR ({_HEX}) BETWEEN 55296 AND 57343 THEN chr(65533)
+  WHEN list_position(odd, ({_HEX})::INTEGER) > 0 THEN meant[list_position(odd, ({_HEX})::INTEGER)] ELSE chr(({_HEX})::INTEGER) END"""
+_NAME = f"""CASE WHEN list_position(names, substr(x, 2)) > 0 THEN chars[list_position(names, substr(x, 2))]
+  WHEN regexp_matches(x, '^&(?:{_BARE})') THEN chars[list_position(names, regexp_extract(x, '^&({_BARE})', 1))] || substr(x, length(regexp_extract(x, '^&(?:{_BARE})', 0)) + 1) ELSE x END"""
+_STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(payload,
       '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'g'),
       '(?i)</(?:p|div|li|tr|h[1-6]|section|article|table|ul|ol|title)\s*>|<br\s*/?>', chr(10), 'g'),
-      '<[^>]*>', ' ', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'),
-  '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"""
+      '<[^>]*>', ' ', 'g')"""
+_HEADERS = " || chr(13) || chr(10) || ".join(
+    (
+        "'WARC/1.1'", "'WARC-Type: ' || kind", "'WARC-Record-ID: ' || record_id", "'WARC-Refers-To: ' || refers_to", "'WARC-Refers-To-Target-URI: ' || uri", "'WARC-Refers-To-Date: ' || date",
+        "'X-Refers-To-Payload-Digest: ' || source_digest", "'WARC-Target-URI: ' || uri", "'WARC-Date: ' || date", "'WARC-Block-Digest: ' || block_digest", "'Content-Type: ' || mime", "'Content-Length: ' || content_length",
+    )
+)
 
 OP5 = rf"""
 WITH pages_ AS (
@@ -149,17 +171,26 @@ WITH pages_ AS (
 ), keyed AS (
   SELECT *, sha256(payload) AS digest, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || target_uri || '|' || sha256(payload)) AS k FROM pages_
 ), records AS (
-  SELECT *, {_UUID.format(h="k")} AS response_id FROM keyed
+  SELECT *, {_UUID.format(h="k")} AS response_id, row_number() OVER () AS r FROM keyed
+), entities AS ({_ENTITIES}), cut AS (
+  SELECT r, string_split_regex({_STRIPPED}, '{_REF}') AS between_, regexp_extract_all({_STRIPPED}, '{_REF}') AS refs FROM records
+), spread AS (
+  SELECT r, unnest(between_) AS t, unnest(refs) AS x, generate_subscripts(between_, 1) AS i FROM cut
+), decoded AS (
+  SELECT r, string_agg(t || CASE WHEN x IS NULL THEN '' WHEN starts_with(x, '&#') THEN {_NUMBER} ELSE {_NAME} END, '' ORDER BY i) AS t FROM spread, entities GROUP BY r
 ), both_ AS (
-  SELECT page_id, response_id, target_uri, digest, 'metadata' AS kind,
+  SELECT page_id, response_id, target_uri, digest, 'metadata' AS kind, 'application/json' AS mime,
          to_json({{'title': regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), 'lang': regexp_extract(payload, '(?i)<html[^>]*\blang="([^"]*)"', 1),
                   'links': regexp_extract_all(payload, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1),
                   'source_headers': 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload),
                   'source_digest': 'sha256:' || digest}})::VARCHAR AS block FROM records
-  UNION ALL SELECT page_id, response_id, target_uri, digest, 'conversion', {_TEXT} FROM records
+  UNION ALL SELECT page_id, response_id, target_uri, digest, 'conversion', 'text/plain; charset=utf-8',
+         trim(regexp_replace(regexp_replace(replace(t, chr(160), ' '), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) FROM records JOIN decoded USING (r)
+), made AS (
+  SELECT page_id, kind, {_UUID.format(h="md5(kind || '|' || response_id)")} AS record_id, response_id AS refers_to, target_uri, '1970-01-01T00:00:00Z' AS date, mime, 'sha256:' || digest AS source_digest,
+         'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block, replace(replace(target_uri, chr(13), '%0D'), chr(10), '%0A') AS uri FROM both_
 )
-SELECT page_id, kind, {_UUID.format(h="md5(kind || '|' || response_id)")} AS record_id, response_id AS refers_to, target_uri, 'sha256:' || digest AS source_digest,
-       'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block FROM both_
+SELECT * EXCLUDE (uri), {_HEADERS} AS headers FROM made
 """
 
 OP9 = rf"""
