@@ -11,14 +11,20 @@ level counts, of that the whole passage before paragraphs and these before lines
 and of parts the message that holds most characters of them.  Parts have at least
 MIN_CHARS characters; a whole passage may be shorter inside a conversation.  Where no
 earlier message of the conversation holds a piece, the earliest in another
-conversation is named as foreign.  Messages are returned in reply order,
-each with its own words only, its parent turn (the quoted message of the least
-level, else the turn before) and its depth of quotes.
+conversation is named as foreign.
 
-Scale: DataFrame functions only.  The hash join carries only passages that are
-quoted somewhere (a semi-join first); for foreign matches originals are reduced to
-one per hash before the join, and inside a conversation the join key holds conv_id,
-so that a first turn shared by a third of all conversations is no hot join.
+Messages are returned in reply order, each with its own words only, its parent turn
+(the quoted message of the least level, else the turn before) and its depth of quotes.
+``position`` is the place by (turn, role, place in the table): a message comes after
+every message that it may answer.
+
+Scale: texts are parsed in one linear Arrow pass and written without their quotations;
+a second pass hashes the pieces of originals, and only those that are quoted somewhere
+are shuffled (a semi-join against the quoted hashes, a written table whose size the
+planner knows).  No quotation anywhere ends the work there.  Latest earlier originals
+and places in a conversation come from range-partitioned sorts, so that a conversation
+or a passage of a third of all messages is spread over tasks.  Foreign originals are
+reduced to one a hash before the join.
 
 Defined results: null text is an empty message; null conv_id, turn: grouped as their
 own values, compared null-safe; repeated rows stay repeated; an unmatched quotation
@@ -27,108 +33,161 @@ leaves parent turn as the turn before; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.url_filter import ascii_lower
+from sparkloom.llm import sorted_runs
+from sparkloom.llm.common import written
 
 MIN_CHARS = 8
-PARAGRAPH = r"\n(?:[ \t\r]*\n)+"
-MARK = r"^((?:[ \t]*>)*)[ \t]?"
-
-
-def _normal(c):
-    return F.btrim(F.regexp_replace(ascii_lower(c), r"[ \t\r\n]+", " "), F.lit(" "))
-
-
-def passages(text):
-    """array<struct<level, body>> of a message."""
-    lines = F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\n"),
-        lambda l: F.struct(
-            F.length(F.regexp_replace(F.regexp_extract(l, MARK, 1), r"[^>]", "")).alias("level"),
-            F.regexp_replace(l, MARK, "").alias("body"),
-        ),
-    )
-    start = F.array().cast("array<struct<level:int,body:string>>")
-    return F.aggregate(
-        lines,
-        start,
-        lambda held, l: F.when(
-            (F.size(held) > 0) & (F.element_at(held, -1)["level"] == l["level"]),
-            F.concat(
-                F.slice(held, 1, F.size(held) - 1),
-                F.array(F.struct(l["level"].alias("level"), F.concat(F.element_at(held, -1)["body"], F.lit("\n"), l["body"]).alias("body"))),
-            ),
-        ).otherwise(F.concat(held, F.array(l))),
+_PARAGRAPH = re.compile(r"\n(?:[ \t\r]*\n)+")
+_QUOTED = re.compile(r"^[ \t]*>", re.MULTILINE)
+_BLANKS = re.compile(r"[ \t\r\n]+")
+BATCH_BYTES = 4 << 20
+
+Piece = tuple[bytes, int, int]  # hash, rank (0 whole, 1 paragraph, 2 line), characters
+
+
+def level_of(line: str) -> tuple[int, str]:
+    """Quote level and what follows the marks and one blank."""
+    at = level = place = 0
+    while at < len(line) and line[at] in " \t>":
+        if line[at] == ">":
+            level, place = level + 1, at + 1
+        at += 1
+    return level, line[place + 1 :] if line[place : place + 1] in (" ", "\t") else line[place:]
+
+
+def passages(text: str) -> list[tuple[int, str]]:
+    """(level, body) of each run of lines of one level."""
+    if not _QUOTED.search(text):
+        return [(0, text)]
+    out: list[tuple[int, list[str]]] = []
+    for line in text.split("\n"):
+        level, body = level_of(line)
+        if out and out[-1][0] == level:
+            out[-1][1].append(body)
+        else:
+            out.append((level, [body]))
+    return [(level, "\n".join(lines)) for level, lines in out]
+
+
+def pieces(body: str, min_chars: int) -> Iterator[Piece]:
+    """A passage whole, by paragraph and by line, hashed."""
+    cuts = [(0, [body])]
+    if "\n" in body:
+        cuts += [(1, _PARAGRAPH.split(body)), (2, body.split("\n"))]
+    for rank, parts in cuts:
+        for part in parts:
+            held = _BLANKS.sub(" ", part).strip(" ")
+            if len(held) >= min_chars or rank == 0 and held:
+                yield hashlib.md5(held.encode().lower()).digest(), rank, len(held)  # bytes: A-Z alone become lower case
+
+
+def own_words(parts: list[tuple[int, str]]) -> str:
+    return "\n".join(body.strip(" \n") for level, body in parts if level == 0).strip(" \n")
+
+
+MESSAGE = "conv_id bigint, turn bigint, role string, text string, n_quoted bigint, max_level bigint, quoted array<struct<hash:binary,level:int,rank:int,n_chars:bigint>>"
+_QUOTED_TYPE = pa.list_(pa.struct([("hash", pa.binary()), ("level", pa.int32()), ("rank", pa.int32()), ("n_chars", pa.int64())]))
+
+
+def _parse(min_chars: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, levels, held = [], [], [], []
+            for value in batch.column(3):
+                parts = passages(value.as_py() or "")
+                texts.append(own_words(parts))
+                counts.append(sum(level > 0 for level, _ in parts))
+                levels.append(max(level for level, _ in parts))
+                held.append([{"hash": h, "level": level, "rank": rank, "n_chars": n} for level, body in parts if level for h, rank, n in pieces(body, min_chars)])
+            columns = [batch.column(i) for i in range(3)] + [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(levels, pa.int64()), pa.array(held, _QUOTED_TYPE)]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text", "n_quoted", "max_level", "quoted"])
+
+    return kernel
+
+
+def _originals(min_chars: int):
+    """conv_id, turn and hash of every piece of a message's own words."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes, size = [], [], 0
+            for i, value in enumerate(batch.column(2)):
+                text = value.as_py() or ""
+                found = {h for level, body in passages(text) if not level for h, _, _ in pieces(body, min_chars)}
+                rows += [i] * len(found)
+                hashes += found
+                size += len(text)
+                if size > BATCH_BYTES:
+                    yield _taken(batch, rows, hashes)
+                    rows, hashes, size = [], [], 0
+            yield _taken(batch, rows, hashes)
+
+    return kernel
+
+
+def _taken(batch: pa.RecordBatch, rows: list[int], hashes: list[bytes]) -> pa.RecordBatch:
+    at = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.binary())], names=["conv_id", "turn", "hash"])
+
+
+def _inside(quoted: DataFrame, held: DataFrame) -> DataFrame:
+    """id, __parent: the turn that each message quotes, if it is an earlier one of its conversation."""
+    asked = quoted.select("conv_id", "turn", "hash", "piece", F.lit(None).cast("bigint").alias("o_turn"))
+    given = held.distinct().select("conv_id", "turn", "hash", F.lit(None).cast("bigint").alias("piece"), F.col("turn").alias("o_turn"))
+    both = asked.union(given).withColumnRenamed("piece", "id").withColumn("given", F.col("o_turn").isNotNull())
+    found = sorted_runs.numbered(both, ["conv_id", "hash"], ["turn", "given", "id"], "o_turn").where("id IS NOT NULL AND last IS NOT NULL")
+    met = quoted.join(found.select(F.col("id").alias("piece"), F.col("last").alias("found")), "piece").where(F.col("found") < F.col("turn"))
+    best = F.struct((-F.col("level")).alias("l"), (-F.col("rank")).alias("r"), "n", F.col("found").alias("f"))
+    return (
+        met.groupBy("id", "level", "rank", "found")
+        .agg(F.when(F.col("rank") > 0, F.sum("n_chars")).otherwise(F.lit(0)).alias("n"))
+        .groupBy("id")
+        .agg(F.max_by("found", best).alias("__parent"))
     )
 
 
-def _pieces(parts: DataFrame, min_chars: int) -> DataFrame:
-    """parts by piece, hashed: h1, h2, rank (0 whole, 1 paragraph, 2 line) and n_chars; body goes."""
-    as_parts = lambda rank, pattern: F.transform(F.split("body", pattern), lambda b: F.struct(F.lit(rank).alias("rank"), b.alias("piece")))
-    whole = F.array(F.struct(F.lit(0).alias("rank"), F.col("body").alias("piece")))
-    every = F.when(F.contains("body", F.lit("\n")), F.concat(whole, as_parts(1, PARAGRAPH), as_parts(2, "\n"))).otherwise(whole)
-    kept = [c for c in parts.columns if c != "body"]
-    spread = parts.select(*kept, F.inline(every)).withColumn("norm", _normal(F.col("piece"))).withColumn("n_chars", F.length("norm").cast("bigint"))
-    spread = spread.where((F.col("n_chars") >= min_chars) | ((F.col("rank") == 0) & (F.col("n_chars") > 0)))
-    return spread.select(*kept, "rank", "n_chars", F.xxhash64("norm").alias("h1"), F.md5("norm").alias("h2"))
+def _foreign(quoted: DataFrame, held: DataFrame, min_chars: int) -> DataFrame:
+    """id, __foreign: another conversation that holds what a message quotes, the first in the least rank."""
+    first = written(held.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o")).select("hash", F.col("o.conv_id").alias("o_conv")), "first-originals")
+    met = quoted.where(F.col("n_chars") >= min_chars).join(first, "hash").where(~F.col("o_conv").eqNullSafe(F.col("conv_id")))
+    return met.groupBy("id").agg(F.min(F.struct("rank", F.col("o_conv").alias("conv"))).alias("least")).select("id", F.col("least.conv").alias("__foreign"))
 
 
 def linked(conversations: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """conv_id, turn, role, text (own words), n_quoted, max_level, parent_turn, linked, foreign_conv, position."""
     base = conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), "text"
-    )
-    has_quote = F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^[ \t]*>")
-    plain = F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text", F.lit("")).alias("body")))
-    cut = base.withColumn("__parts", F.when(has_quote, passages(F.col("text"))).otherwise(plain)).withColumn("__row", F.monotonically_increasing_id())
-    own = F.btrim(F.array_join(F.transform(F.filter("__parts", lambda p: p["level"] == 0), lambda p: F.btrim(p["body"], F.lit(" \n"))), "\n"), F.lit(" \n"))
-    n_quoted = F.size(F.filter("__parts", lambda p: p["level"] > 0)).cast("bigint")
-    max_level = F.array_max(F.transform("__parts", lambda p: p["level"])).cast("bigint")
-    messages = cut.select("__row", "conv_id", "turn", "role", own.alias("text"), n_quoted.alias("n_quoted"), max_level.alias("max_level"))
-
-    quoted = cut.where(has_quote).select("__row", F.col("conv_id").alias("q_conv"), F.col("turn").alias("q_turn"), F.inline("__parts")).where(F.col("level") > 0)
-    quoted = _pieces(quoted, min_chars)
-    originals = _pieces(cut.select("conv_id", "turn", F.inline("__parts")).where(F.col("level") == 0).drop("level"), min_chars).drop("rank", "n_chars")
-    wanted = quoted.select("h1", "h2").distinct()
-    held = originals.join(wanted, ["h1", "h2"], "left_semi")
-    # the latest earlier original of the conversation: one sort of quotations and originals, no join of repeats
-    both = quoted.select(F.col("q_conv").alias("conv_id"), F.col("q_turn").alias("turn"), "h1", "h2", "__row", "level", "rank", "n_chars", F.lit(None).cast("bigint").alias("o_turn"))
-    both = both.unionByName(held.distinct().withColumns({"o_turn": F.col("turn")}), allowMissingColumns=True)
-    asof = Window.partitionBy("conv_id", "h1", "h2").orderBy("turn", F.col("o_turn").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    inside = (
-        both.withColumn("found", F.last("o_turn", ignorenulls=True).over(asof))
-        .where(F.col("__row").isNotNull() & F.col("found").isNotNull() & (F.col("found") < F.col("turn")))
-        .groupBy("__row", "level", "rank", "found")
-        .agg(F.when(F.col("rank") > 0, F.sum("n_chars")).otherwise(F.lit(0)).alias("n"))
-        .groupBy("__row")
-        .agg(F.max_by("found", F.struct((-F.col("level")).alias("l"), (-F.col("rank")).alias("r"), "n", F.col("found").alias("f"))).alias("__parent"))
-    )
-    first = held.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
-    foreign = (
-        quoted.where(F.col("n_chars") >= min_chars)
-        .join(first, ["h1", "h2"])
-        .where(~F.col("o.conv_id").eqNullSafe(F.col("q_conv")))
-        .groupBy("__row")
-        .agg(F.min(F.struct("rank", F.col("o.conv_id").alias("conv"))).alias("least"))
-        .select("__row", F.col("least.conv").alias("__foreign"))
-    )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "__row")
-    return (
-        messages.join(inside, "__row", "left")
-        .join(foreign, "__row", "left")
-        .withColumn("__before", F.lag("turn").over(order))
-        .select(
-            "conv_id",
-            "turn",
-            "role",
-            "text",
-            "n_quoted",
-            "max_level",
-            F.coalesce("__parent", "__before").alias("parent_turn"),
-            F.col("__parent").isNotNull().alias("linked"),
-            F.when(F.col("__parent").isNull(), F.col("__foreign")).alias("foreign_conv"),
-            F.row_number().over(order).cast("bigint").alias("position"),
-        )
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"),
+        F.make_valid_utf8(F.col("text").cast("string")).alias("text"),
+    )
+    # numbered once, when written, so that a row's id is the same in every job
+    messages = written(base.mapInArrow(_parse(min_chars), MESSAGE).withColumn("id", F.monotonically_increasing_id()), "messages")
+    places = sorted_runs.numbered(messages.select("id", "conv_id", "turn", "role"), ["conv_id"], ["turn", "role", "id"], "turn")
+    out = messages.join(places.withColumnRenamed("last", "__before"), "id")
+    quoted = written(messages.where("size(quoted) > 0").select("id", "conv_id", "turn", F.inline("quoted")).withColumn("piece", F.monotonically_increasing_id()), "quoted")
+    if quoted.isEmpty():
+        out = out.withColumns({"__parent": F.lit(None).cast("bigint"), "__foreign": F.lit(None).cast("bigint")})
+    else:
+        wanted = written(quoted.select("hash").distinct(), "quoted-hashes")
+        held = base.select("conv_id", "turn", "text").mapInArrow(_originals(min_chars), "conv_id bigint, turn bigint, hash binary")
+        held = written(held.join(wanted, "hash", "left_semi"), "originals")
+        out = out.join(_inside(quoted, held), "id", "left").join(_foreign(quoted, held, min_chars), "id", "left")
+    return out.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        "n_quoted",
+        "max_level",
+        F.coalesce("__parent", "__before").alias("parent_turn"),
+        F.col("__parent").isNotNull().alias("linked"),
+        F.when(F.col("__parent").isNull(), F.col("__foreign")).alias("foreign_conv"),
+        F.col("place").alias("position"),
     )
