@@ -6,9 +6,11 @@ single and paired word shapes (kind, first bytes' case, whether the word repeats
 one before).  A feature's value is its share of the text's tokens times SCALE.
 
 Training: follow-the-regularised-leader (proximal, per-coordinate rates) on the
-driver over at most ``max_rows`` labelled documents, those of least hash of doc_id
-(a documented bound; features, not texts, are collected).  Scoring: one map pass,
-the sigmoid of a sparse dot product with weights of a fixed size (2**BITS floats).
+driver over at most ``max_rows`` labelled documents, those of least hash of doc_id, as
+many of them in that order as have features of at most ``max_bytes`` together (both
+documented bounds; features, not texts, are collected).  Of rows that share a doc_id
+the text of the least hash counts.  Scoring: one map pass, the sigmoid of a sparse dot
+product with weights of a fixed size (2**BITS floats).
 
 Scores are cut at THRESHOLD.  Rows whose crc32(doc_id as text) mod FOLDS is 0 are held
 out of training.  labels, lang, source and doc_id are never inputs of a score.
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import discard, written
 from sparkloom.llm.kernels import LOWER, TOKENS, Words, mix64, seeds, slices, string_buffers
 
 BITS = 20
 SCALE = 8.0
-MAX_ROWS = 5000
+MAX_ROWS, MAX_BYTES = 5000, 128 << 20
 EPOCHS = 3
 FOLDS = 5
 THRESHOLD = 0.3
@@ -62,8 +65,7 @@ def features(words: Words, raw: np.ndarray, member: np.ndarray = TOKENS, bits: i
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offsets = string_buffers(batch.column(0))
-        label = batch.column(1).to_numpy()
+        raw, offsets = string_buffers(batch.column(2))
         for lo, hi in slices(offsets):
             words = Words(raw, offsets, lo, hi, TOKENS)
             row, index = features(words, raw)
@@ -74,7 +76,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, count = np.unique(index[ends[i] : ends[i + 1]], return_counts=True)
                 idx.append(own.astype(np.int32).tobytes())
                 val.append((SCALE * count / max(1, words.count[i])).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(label[lo:hi]), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["label", "idx", "val"])
+            held = [batch.column(i).slice(lo, hi - lo) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["id", "label", "idx", "val"])
 
 
 class Ftrl:
@@ -102,18 +105,35 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights, the intercept last."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> list:
+    """label, idx, val of the chosen documents, in the order of the hash of their ids."""
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
         .groupBy(F.col("doc_id").cast("bigint").alias("__id"))
-        .agg(F.max("quality").cast("int").alias("__quality"))
+        .agg(F.max("quality").cast("int").alias("__label"))
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("__id")).select("text", F.col("__quality").alias("label"))
-    held = rows.mapInArrow(_featurise, "label int, idx binary, val binary").collect()
-    held.sort(key=lambda r: (bytes(r["idx"]), r["label"]))  # the order of learning doesn't depend on the partitions
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("__id"))
+    # one text for each id, taken before any is shuffled; then at most max_rows of them
+    one = rows.groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("__label").alias("label"))
+    held = written(one.select("__id", "label", "text").mapInArrow(_featurise, "id bigint, label int, idx binary, val binary"), "features")
+    held_at = held.withColumn("place", F.xxhash64("id"))
+    size = (F.octet_length("idx") + F.octet_length("val")).alias("size")
+    total, last = 0, None
+    for r in sorted(held_at.select("place", "id", size).collect()):
+        total += r["size"]
+        if total > max_bytes:
+            break
+        last = r
+    upto = [] if last is None else held_at.where((F.col("place") < last["place"]) | (F.col("place") == last["place"]) & (F.col("id") <= last["id"])).collect()
+    discard(held)
+    return sorted(upto, key=lambda r: (r["place"], r["id"]))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, max_bytes: int = MAX_BYTES) -> np.ndarray:
+    """Weights, the intercept last."""
+    held = training_rows(docs, labels, max_rows, max_bytes)
     model, top, one = Ftrl(), np.array([1 << BITS]), np.ones(1)
     order = np.random.default_rng(7)
     for _ in range(epochs):
