@@ -10,9 +10,10 @@ occurrences located and merged into removal spans.
 A phrase is ``window`` consecutive words of an item, or all of a shorter one.  Words
 are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
 
-Scale: one map pass over the documents, no shuffle.  The benchmark goes to the tasks
-in blocks of at most ``block_bytes`` of text; more blocks mean more passes in the
-same map chain, each adding its hits to the row, so no broadcast exceeds the bound.
+Scale: one map pass over the documents, no shuffle, as long as the benchmark fits in
+one block of about ``block_bytes`` of text (it goes to the tasks with the closure).  A
+larger one is searched block after block: the driver and each task hold one block at a
+time, each pass writes the rows it hits, and these few rows are merged and joined back.
 
 Defined results: null and empty texts have no words and no hits; null or empty items
 have no phrase; an item_id that is null joins as an empty string; items that share an
@@ -23,18 +24,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh
+from sparkloom.llm.common import fresh, written
 from sparkloom.llm.fm_index import FMIndex
-from sparkloom.llm.kernels import ALNUM, Words, group_starts, ranges, slices, string_buffers
+from sparkloom.llm.kernels import ALNUM, Words, group_starts, ranges, runs_at, slices, string_buffers
+from sparkloom.llm.spans import NULL_ID, keyed
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
+#: Phrases searched at a time.
+SEARCHED = 1 << 16
 RESULT = (
     "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, "
     "spans array<struct<start:bigint,end:bigint>>"
@@ -43,29 +49,29 @@ _HITS = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 
 class Phrases:
-    """The distinct phrases of a block of items, as numbers in the block's vocabulary."""
+    """The distinct phrases of a block of items, as numbers in the block's vocabulary.
+
+    Held are the items' words as one sequence and where in it each phrase begins, so that
+    a block takes a few bytes for each word, not for each word of each phrase.
+    """
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
         raw, offsets = string_buffers(pa.array(texts, pa.string()))
         words = Words(raw, offsets, 0, len(texts), ALNUM)
         self.ids = ids
         self.vocabulary = np.unique(words.hash)
-        number = np.searchsorted(self.vocabulary, words.hash) + 1
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i in range(len(texts)):
-            own = number[words.begin[i] : words.begin[i + 1]]
-            size = min(window, len(own))
-            for j in range(len(own) - size + 1) if size else ():
-                by_length.setdefault(size, []).append((i, own[j : j + size]))
+        self.sequence = (np.searchsorted(self.vocabulary, words.hash) + 1).astype(np.int32)
         self.groups = []
-        for size, held in sorted(by_length.items()):
-            table, of = np.unique(np.array([x for _, x in held]), axis=0, return_inverse=True)
-            of = of.ravel()
-            item = np.array([i for i, _ in held])
-            order = np.lexsort((item, of))
-            begin = np.searchsorted(of[order], np.arange(len(table) + 1))
-            self.groups.append((size, table.astype(np.int32), item[order].astype(np.int32), begin))
-        self.shortest = min(by_length, default=0)
+        size = np.minimum(words.count, window)
+        for n in np.unique(size[size > 0]):
+            own = np.flatnonzero(size == n)
+            count = words.count[own] - n + 1
+            at, item = ranges(words.begin[own], count), np.repeat(own, count)
+            key = runs_at(words.hash, at, int(n), 61)
+            order = np.lexsort((item, key))
+            begin = group_starts(key[order])
+            self.groups.append((int(n), at[order][begin].astype(np.int32), item[order].astype(np.int32), np.r_[begin, len(order)]))
+        self.shortest = min((g[0] for g in self.groups), default=0)
 
     def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, length and item of each occurrence in a shard."""
@@ -92,14 +98,16 @@ class Phrases:
         seq[tail] = 0
         index = FMIndex(seq, len(self.vocabulary) + 1)
         found = []
-        for size, table, item, first in self.groups:
-            lo, hi = index.search(table)
-            hit = np.flatnonzero(hi > lo)
-            count = hi[hit] - lo[hit]
-            place = where[index.locate(ranges(lo[hit], count))]
-            which = np.repeat(hit, count)
-            many = first[which + 1] - first[which]
-            found.append((np.repeat(place, many), np.full(int(many.sum()), size), item[ranges(first[which], many)]))
+        for size, at, item, first in self.groups:
+            for part in range(0, len(at), SEARCHED):
+                table = self.sequence[at[part : part + SEARCHED, None] + np.arange(size)]
+                lo, hi = index.search(table)
+                hit = np.flatnonzero(hi > lo)
+                count = hi[hit] - lo[hit]
+                place = where[index.locate(ranges(lo[hit], count))]
+                which = part + np.repeat(hit, count)
+                many = first[which + 1] - first[which]
+                found.append((np.repeat(place, many), np.full(int(many.sum()), size), item[ranges(first[which], many)]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
@@ -116,55 +124,92 @@ def _union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(phrases: Phrases):
-    """Adds the hits of one block of items to each row."""
+def _found(phrases: Phrases, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, list[str]]]]:
+    """Words of each row of a batch; and of each row that is hit its spans and items."""
+    count, out = np.zeros(len(offsets) - 1, np.int64), {}
+    for lo, hi in slices(offsets):
+        words = Words(raw, offsets, lo, hi, ALNUM)
+        count[lo:hi] = words.count
+        start, size, item = phrases.occurrences(words)
+        if not len(start):
+            continue
+        row = np.searchsorted(words.begin, start, side="right") - 1
+        start = start - words.begin[row]
+        order = np.argsort(row, kind="stable")
+        row, start, end, item = row[order], start[order], (start + size)[order], item[order]
+        at = group_starts(row)
+        for a, b in zip(at, np.r_[at[1:], len(row)], strict=True):
+            out[lo + int(row[a])] = _union(start[a:b], end[a:b]), sorted({phrases.ids[i] for i in np.unique(item[a:b])})
+    return count, out
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _reported(ids, count, found: dict) -> pa.RecordBatch:
+    """RESULT rows."""
+    n_hit, n_items, digests, bad, spans = [], [], [], [], []
+    nothing, none = np.empty(0, _HITS), hashlib.sha256(b"").hexdigest()
+    for i, n in enumerate(count):
+        own, items = found.get(i, (nothing, []))
+        hit = int((own["end"].astype(np.int64) - own["start"]).sum())
+        n_hit.append(hit)
+        n_items.append(len(items))
+        digests.append(hashlib.sha256(",".join(items).encode()).hexdigest() if items else none)
+        bad.append(hit > 0 and 20 * hit >= n)
+        spans.append([{"start": int(a), "end": int(b)} for a, b in own.tolist()])
+    columns = [pa.array(count), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_()), pa.array(spans, _SPANS)]
+    return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+
+
+def _report(phrases: Phrases):
+    """RESULT of each row (doc_id, text), for a benchmark of one block."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = string_buffers(batch.column(1))
-            held, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            count = np.zeros(batch.num_rows, np.int64)
-            for lo, hi in slices(offsets):
-                words = Words(raw, offsets, lo, hi, ALNUM)
-                count[lo:hi] = words.count
-                start, size, item = phrases.occurrences(words)
-                if not len(start):
-                    continue
-                row = np.searchsorted(words.begin, start, side="right") - 1
-                start = start - words.begin[row]
-                order = np.argsort(row, kind="stable")
-                row, start, end, item = row[order], start[order], (start + size)[order], item[order]
-                at = group_starts(row)
-                for a, b in zip(at, np.r_[at[1:], len(row)], strict=True):
-                    r = lo + int(row[a])
-                    old = np.frombuffer(held[r] or b"", _HITS)
-                    held[r] = _union(np.r_[old["start"], start[a:b]].astype(np.int64), np.r_[old["end"], end[a:b]].astype(np.int64)).tobytes()
-                    ids[r] = sorted({*(ids[r] or ()), *(phrases.ids[i] for i in np.unique(item[a:b]))})
+            yield _reported(batch.column(0), *_found(phrases, *string_buffers(batch.column(1))))
+
+    return kernel
+
+
+HIT = "doc_id bigint, text_hash bigint, hits binary, items array<string>"
+
+
+def _hit_rows(phrases: Phrases):
+    """HIT of the rows (doc_id, text, text_hash) that a block hits."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, found = _found(phrases, *string_buffers(batch.column(1)))
+            at = pa.array(list(found), pa.int64())
+            hits, items = [found[i][0].tobytes() for i in found], [found[i][1] for i in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(count), pa.array(held, pa.binary()), pa.array(ids, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "hits", "items"],
+                [batch.column(0).take(at), batch.column(2).take(at), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text_hash", "hits", "items"]
             )
 
     return kernel
 
 
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, rows = batch.column(1).to_numpy(), []
-        for n, hits, items in zip(n_words, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            spans = np.frombuffer(hits or b"", _HITS)
-            n_hit, items = int((spans["end"].astype(np.int64) - spans["start"]).sum()), items or []
-            digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-            rows.append((n_hit, len(items), digest, n_hit > 0 and 20 * n_hit >= n, [{"start": int(s), "end": int(e)} for s, e in spans.tolist()]))
-        names = ("n_hit", "n_items", "items_sha256", "contaminated", "spans")
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["doc_id", "n_words", *names]
-        )
+        raw, offsets = string_buffers(batch.column(1))
+        count = [Words(raw, offsets, lo, hi, ALNUM).count for lo, hi in slices(offsets)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(count) if count else np.zeros(0, np.int64))], names=["doc_id", "text_hash", "n_words"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RESULT of rows (doc_id, n_words, hits of each block, items of each block)."""
+    for batch in batches:
+        found = {}
+        for i, (hits, items) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            if hits:
+                own = np.frombuffer(b"".join(hits), _HITS)
+                found[i] = _union(own["start"].astype(np.int64), own["end"].astype(np.int64)), sorted({x for part in items for x in part})
+        yield _reported(batch.column(0), batch.column(1).to_numpy(), found)
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[str], list[str | None]]]:
-    """The items, at most about block_bytes of text at a time; the driver holds one block."""
+    """The items, at most about block_bytes of text at a time; the driver holds one block (and one partition that Spark reads)."""
     ids, texts, size = [], [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     for row in rows.toLocalIterator():
@@ -178,86 +223,55 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[s
         yield ids, texts
 
 
+def _hits_by_block(keyed: DataFrame, blocks: Iterator[tuple[list[str], list[str | None]]], window: int) -> DataFrame:
+    """HIT of every row (doc_id, text, text_hash) and block, one pass a block; repeated rows count once."""
+    found = [written(keyed.mapInArrow(_hit_rows(Phrases(ids, texts, window)), HIT), "hits") for ids, texts in blocks]
+    return reduce(DataFrame.union, found).distinct()
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: counts, items, contaminated, and the removal spans in words."""
-    now = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        "text",
-        F.lit(0).cast("bigint").alias("n_words"),
-        F.lit(None).cast("binary").alias("hits"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    blocks = [Phrases(ids, texts, window) for ids, texts in item_blocks(benchmark, block_bytes)] or [Phrases([], [], window)]
-    for phrases in blocks:
-        now = now.mapInArrow(_search(phrases), "doc_id bigint, text string, n_words bigint, hits binary, items array<string>")
-    return now.select("doc_id", "n_words", "hits", "items").mapInArrow(_report, RESULT)
-
-
-def _covered(words: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Words of each row inside any occurrence."""
-    edge = np.zeros(len(words.hash) + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + size, -1)
-    mark = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
-    return mark[words.begin[1:]] - mark[words.begin[:-1]]
+    blocks = item_blocks(benchmark, block_bytes)
+    first, second = next(blocks, ([], [])), next(blocks, None)
+    if second is None:
+        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_report(Phrases(*first, window)), RESULT)
+    rows = keyed(docs).select("doc_id", "text", "text_hash")
+    found = _hits_by_block(rows, chain([first, second], blocks), window).groupBy("doc_id", "text_hash").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    counted = rows.mapInArrow(_count_words, "doc_id bigint, text_hash bigint, n_words bigint")
+    joined = counted.join(written(found, "merged-hits"), ["doc_id", "text_hash"], "left").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words", "hits", "items")
+    return joined.mapInArrow(_merge, RESULT)
 
 
 def _keep(phrases: Phrases, at: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = string_buffers(batch.column(at))
+            count, found = _found(phrases, *string_buffers(batch.column(at)))
             keep = np.ones(batch.num_rows, bool)
-            for lo, hi in slices(offsets):
-                words = Words(raw, offsets, lo, hi, ALNUM)
-                start, size, _ = phrases.occurrences(words)
-                n_hit = _covered(words, start, size)
-                keep[lo:hi] = ~((n_hit > 0) & (20 * n_hit >= words.count))
+            for i, (spans, _) in found.items():
+                keep[i] = 20 * int((spans["end"].astype(np.int64) - spans["start"]).sum()) < count[i]
             yield batch.filter(pa.array(keep))
 
     return kernel
 
 
-def _gather(phrases: Phrases, at: int, hidden: int):
-    """Adds one block's hits to a hidden column."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = string_buffers(batch.column(at))
-            held = batch.column(hidden).to_pylist()
-            for lo, hi in slices(offsets):
-                words = Words(raw, offsets, lo, hi, ALNUM)
-                start, size, _ = phrases.occurrences(words)
-                row = np.searchsorted(words.begin, start, side="right") - 1
-                for r in np.unique(row):
-                    own = row == r
-                    first = start[own] - words.begin[r]
-                    old = np.frombuffer(held[lo + r] or b"", _HITS)
-                    both = _union(np.r_[old["start"], first].astype(np.int64), np.r_[old["end"], first + size[own]].astype(np.int64))
-                    held[lo + r] = both.tobytes()
-            yield batch.set_column(hidden, batch.schema.field(hidden), pa.array(held, pa.binary()))
-
-    return kernel
-
-
-def _drop(at: int, hidden: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = string_buffers(batch.column(at))
-            count = np.concatenate([Words(raw, offsets, lo, hi, ALNUM).count for lo, hi in slices(offsets)] or [np.zeros(0, np.int64)])
-            spans = [np.frombuffer(h or b"", _HITS) for h in batch.column(hidden).to_pylist()]
-            n_hit = np.array([int((s["end"].astype(np.int64) - s["start"]).sum()) for s in spans], np.int64)
-            yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= count)))).remove_column(hidden)
-
-    return kernel
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated rows; all columns and all other rows stay as they are."""
-    blocks = [Phrases(ids, texts, window) for ids, texts in item_blocks(benchmark, block_bytes)] or [Phrases([], [], window)]
-    at = docs.columns.index("text")
-    if len(blocks) == 1:
-        return docs.mapInArrow(_keep(blocks[0], at), docs.schema)
-    now = docs.withColumn(fresh(docs, "__hits"), F.lit(None).cast("binary"))
-    for phrases in blocks:
-        now = now.mapInArrow(_gather(phrases, at, len(docs.columns)), now.schema)
-    return now.mapInArrow(_drop(at, len(docs.columns)), docs.schema)
+    blocks = item_blocks(benchmark, block_bytes)
+    first, second = next(blocks, ([], [])), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_keep(Phrases(*first, window), docs.columns.index("text")), docs.schema)
+    rows = keyed(docs).select("doc_id", "text", "text_hash")
+    found = _hits_by_block(rows, chain([first, second], blocks), window).groupBy("doc_id", "text_hash").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    wide = rows.mapInArrow(_count_words, "doc_id bigint, text_hash bigint, n_words bigint").distinct().join(written(found, "merged-hits"), ["doc_id", "text_hash"])
+    keys = "doc_id bigint, text_hash bigint, contaminated boolean"
+    bad = written(wide.select("doc_id", "n_words", "hits", "items", "text_hash").mapInArrow(_judge, keys).where("contaminated"), "contaminated")
+    doc, held, d, h = (fresh(docs, n) for n in ("__doc", "__hash", "__d", "__h"))
+    named = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), held: F.xxhash64("text")})
+    gone = bad.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
+    return named.join(gone, (F.col(doc) == F.col(d)) & (F.col(held) == F.col(h)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for out in _merge([batch]):
+            yield pa.RecordBatch.from_arrays([out.column("doc_id"), batch.column(4), out.column("contaminated")], names=["doc_id", "text_hash", "contaminated"])
