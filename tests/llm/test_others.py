@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import decontaminate, jaccard_join, kernels, packing, quality, quotes, substring_dedup, url_filter, warc
+from sparkloom.llm import decontaminate, jaccard_join, kernels, packing, quality, quotes, sorted_runs, substring_dedup, url_filter, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -134,6 +135,95 @@ def test_quality(spark, sf):
     assert (quality.train(other, flipped) == weights).all()
 
 
+def plain_features(text):
+    """The classifier's features in plain Python: weight index by value."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    seeds = lambda n, salt: [mix((i + 1) * 0x9E3779B97F4A7C15 + salt & mask) | 1 for i in range(n)]
+    raw, s = text.encode(), seeds(6, 900)
+    codes, base = seeds(256, 7), seeds(1, 11)[0] & ~7 | 3
+    low = lambda b: b + 32 if 65 <= b <= 90 else b
+    words = [m[0] for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^\x09-\x0d\x20-\x20\x30-\x39\x41-\x5a\x61-\x7a\x80-\xff]+", raw)]
+    hashes = [mix((sum(codes[low(b)] * pow(base, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & mask) for w in words]
+    shapes = []
+    for i, w in enumerate(words):
+        alnum = bool(re.match(rb"[0-9A-Za-z\x80-\xff]", w))
+        upper = lambda b: 65 <= b <= 90
+        shapes.append((0 if alnum else 1) + 2 * upper(w[0]) + 4 * upper(w[min(1, len(w) - 1)]) + 8 * (i > 0 and hashes[i] == hashes[i - 1]))
+    out = []
+    for i, h in enumerate(hashes):
+        out += [mix(h * s[0] & mask), mix((shapes[i] + 1) * s[3] & mask)]
+        if i:
+            out += [mix(hashes[i - 1] * s[1] + h * s[2] & mask), mix((shapes[i - 1] + 1) * s[4] + (shapes[i] + 1) * s[5] & mask)]
+    held = {}
+    for x in out:
+        held[x >> 64 - quality.BITS] = held.get(x >> 64 - quality.BITS, 0) + quality.SCALE / len(words)
+    return held
+
+
+def plain_scores(docs, labels, epochs=quality.EPOCHS):
+    """Follow-the-regularised-leader and its scores in plain Python."""
+    from math import exp, sqrt
+
+    alpha, beta, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    z, n, top = {}, {}, 1 << quality.BITS
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + sqrt(n[i])) / alpha + l2)
+
+    dot = lambda x: sum(weight(i) * v for i, v in x.items())
+    learned = [(d, {**plain_features(t or ""), top: 1.0}) for d, t in docs if d in labels]
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(learned)):
+            d, x = learned[k]
+            p, now = 1 / (1 + exp(-dot(x))), {i: weight(i) for i in x}
+            for i, v in x.items():
+                g, before = (p - labels[d]) * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (sqrt(before + g * g) - sqrt(before)) / alpha * now[i]
+                n[i] = before + g * g
+    return {d: 1 / (1 + exp(-dot({**plain_features(t or ""), top: 1.0}))) for d, t in docs}
+
+
+def test_quality_against_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    good, bad = "the quick Brown fox, é 12 jumps. over".split(), "BUY BUY now!!! $$$ click -> free".split()
+    docs = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(100, None), (101, "Σ é ß"), (102, "a")]
+    quality_of = {i: i % 2 for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    place = {r["doc_id"]: r["h"] for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = plain_scores(sorted(docs, key=lambda r: (place.get(r[0], 0), r[0])), quality_of)
+    got = {r["doc_id"]: r for r in quality.scored(frame(spark, docs), quality.train(frame(spark, docs), labels)).collect()}
+    assert len(got) == len(docs)
+    for d, score in want.items():
+        assert abs(got[d]["score"] - score) < 1e-5 and (abs(score - 0.3) < 1e-4 or got[d]["predicted"] == (score >= 0.3))
+
+
+def test_quality_sample_is_bounded(spark):
+    """Rows that share a doc_id count once; rows and bytes stay within their bounds; empty tables train nothing."""
+    rows = [(i % 20, f"text {i} " + "word " * (i % 50)) for i in range(3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id bigint, quality int")
+    docs = frame(spark, rows)
+    every = quality.training_rows(docs, labels, 1000, 1 << 30)
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))
+    assert len(quality.training_rows(docs, labels, 10, 1 << 30)) == 10
+    size = lambda held: sum(len(r["idx"]) + len(r["val"]) for r in held)
+    some = quality.training_rows(docs, labels, 1000, size(every) // 2)
+    assert 0 < len(some) < len(every) and size(some) <= size(every) // 2 and some == every[: len(some)]
+    assert quality.training_rows(docs, labels, 1000, 10) == [] and not quality.train(docs.limit(0), labels).any() and not quality.train(docs, labels.limit(0)).any()
+
+
 def test_quality_edges(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "x"), (3, "word " * 20_000), (3, "again")])
     labels = spark.createDataFrame([(2, None), (None, 1)], "doc_id bigint, quality int")
@@ -176,6 +266,18 @@ def test_urls(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_urls_of_very_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "org/x"), (2, "http://org/" + "y" * 1_000_000), (3, "http://" + "." * 100_000 + "/")], "page_id bigint, url string")
+    assert {r["page_id"]: r["rule"] for r in url_filter.judged(pages).collect()} == {1: "org/", 2: "org/", 3: None}
+
+
+def test_more_rules_than_literals(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_LITERAL", 1)
+    pages = spark.createDataFrame([(1, "http://x.org/y"), (2, "http://example.org/es/"), (3, None), (4, "http://a.com/de/")], "page_id bigint, url string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged(pages).collect()} == {1: ("org/", "allow"), 2: ("example.org/es/", "block"), 3: (None, "allow"), 4: ("com/de/", "block")}
+    assert [r["rule"] for r in url_filter.judged(pages, ()).collect()] == [None] * 4
+
+
 # warc
 
 
@@ -212,20 +314,47 @@ def test_warc_records_are_whole(spark, tmp_path):
     from sparkloom.llm import queries
 
     texts = ["&copy; 2024 &middot; x", "it&#8217;s &#x27;q&#X27; &#128; &#0; &#xD800; &#99999999999999999999; &#x1F600;", "&amp;lt; &amp;copy; &lt;b&gt;", "a&copy2024 &eacute&Eacute; &unknown; & &; &#; &notin; &ngE;", "&#65279;&#xFFFE;|&hellip;&mdash;", "plain", "&#160;a&nbsp;b"]
-    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{t}</p>") for i, t in enumerate(texts)] + [(99, None, None)], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{t}</p>", "x", "y") for i, t in enumerate(texts)] + [(99, None, None, None, None), (98, "http://a/\r\nX: y", "", None, None)], "page_id bigint, url string, html string, record_id string, headers string")
     pages.write.parquet(str(tmp_path / "pages.parquet"))
-    out = queries.op5_warc_records(spark, str(tmp_path)).collect()
-    assert len(out) == 2 * len(texts) + 2
+    out = queries.op5_warc_derivatives(spark, str(tmp_path)).collect()
+    assert len(out) == 2 * len(texts) + 4
     for r in out:
-        digest = hashlib.sha256(r["block"].encode()).hexdigest()
+        digest, uri = hashlib.sha256(r["block"].encode()).hexdigest(), r["target_uri"].replace("\r\n", "%0D%0A")
         assert r["headers"].split("\r\n") == [
-            "WARC/1.1", f"WARC-Type: {r['kind']}", f"WARC-Record-ID: {r['record_id']}", f"WARC-Refers-To: {r['refers_to']}", f"WARC-Target-URI: {r['target_uri']}",
-            "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Block-Digest: sha256:{digest}", f"Content-Type: {r['mime']}", f"Content-Length: {len(r['block'].encode())}",
+            "WARC/1.1", f"WARC-Type: {r['kind']}", f"WARC-Record-ID: {r['record_id']}", f"WARC-Refers-To: {r['refers_to']}", f"WARC-Refers-To-Target-URI: {uri}", "WARC-Refers-To-Date: 1970-01-01T00:00:00Z",
+            f"X-Refers-To-Payload-Digest: {r['source_digest']}", f"WARC-Target-URI: {uri}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Block-Digest: sha256:{digest}", f"Content-Type: {r['mime']}",
+            f"Content-Length: {len(r['block'].encode())}",
         ]
-        if r["kind"] == "conversion" and r["page_id"] != 99:
+        if r["kind"] == "conversion" and r["page_id"] < 98:
             assert r["block"] == re.sub(r"[ \t\r\f]+", " ", html.unescape(texts[r["page_id"]]).replace("\xa0", " ")).strip(" \n")
 
 
+def test_warc_texts_against_plain_patterns():
+    """Texts, titles, languages and links as backtracking patterns would find them."""
+    import html
+
+    drop = re.compile(r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>")
+    breaks = re.compile(r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|table|ul|ol|title)\s*>|<br\s*/?>")
+    bits = ["<script", "</script >", "<style>", "</style>", "<!--", "-->", "<head ", "</head>", "<a ", 'href="x"', 'HREF="', '"', ">", "<p>", "</p>", "<br/>", "<html ", 'lang="', 'lang="en"', "title", "<title x>", "</title", " x ", "\n", "&amp;", "&copy", "&#65;", "<", 'xlang="q"']
+    rng = random.Random(1)
+    for _ in range(5000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        want = re.sub(r"[ \t\r\f]+", " ", html.unescape(re.sub(r"<[^>]*>", " ", breaks.sub("\n", drop.sub(" ", page)))))
+        assert warc.page_text(page) == re.sub(r" ?\n[ \n]*", "\n", want).strip(" \n")
+        for found, pattern in ((warc.title, r"(?is)<title[^>]*>(.*?)</title"), (warc.language, r'(?i)<html[^>]*\blang="([^"]*)"')):
+            m = re.search(pattern, page)
+            assert found(page) == (m[1] if m else "")
+        assert warc.links(page) == re.findall(r'(?i)<a\b[^>]*?\bhref="([^"]*)"', page)
+
+
+@pytest.mark.parametrize("bit", ["<script ", "<!--", "</p ", "<", "<a ", '<a href="', '<html lang="', "<html ", "<title", "<title>", "<head><head ", "&#", "&#x", "&#0", "&amp", "&#99999999999", "<br "])
+def test_warc_is_linear_in_a_page(bit):
+    page = bit * (1_000_000 // len(bit))
+    source = {"page_id": 1, "record_id": "r", "target_uri": "u", "date": "d", "http_headers": "h", "payload_digest": "p", "payload": page}
+    began = time.perf_counter()
+    assert len(list(warc._records(source))) == 2 and time.perf_counter() - began < 5
+
+
 # quotations
 
 
@@ -278,6 +407,52 @@ def test_quotes_of_parts(spark):
     assert out[2, 0]["foreign_conv"] == 1 and not out[2, 0]["linked"] and out[2, 1]["foreign_conv"] is None
 
 
+def test_quotes_of_very_long_lines(spark):
+    rows = [(1, 0, "a message that is answered"), (1, 1, ">" * 1_000_000 + " a message that is answered"), (1, 2, " " * 1_000_000 + "> a message that is answered\nyes"), (1, 3, "> line\n" * 50_000 + "end"), (1, 4, "x" * 2_000_000)]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    out = {r["turn"]: r for r in quotes.linked(df).collect()}
+    assert out[1]["max_level"] == 1_000_000 and out[1]["parent_turn"] == 0 and out[1]["linked"]
+    assert out[2]["linked"] and out[2]["text"] == "yes" and out[3]["n_quoted"] == 1 and out[4]["text"] == "x" * 2_000_000
+    assert [out[t]["position"] for t in range(5)] == [1, 2, 3, 4, 5]
+
+
+def test_quotes_in_one_large_conversation(spark):
+    """Places, turns before and quotations where one conversation holds most rows, and one has no id."""
+    rows = [(None if i % 7 == 0 else 5, i, "user", f"message number {i}" if i % 3 else f"> message number {i - 8}\nanswer") for i in range(600)] + [(5, None, "user", "no turn"), (5, 1, "user", "message number 1")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    got = {}
+    for r in quotes.linked(df).collect():
+        got.setdefault((r["conv_id"], r["turn"]), []).append(r)
+    for conv in (None, 5):
+        own = sorted((t for c, t, _, _ in rows if c == conv), key=lambda t: (t is not None, t or 0))
+        places = sorted((p["position"], t) for (c, t), held in got.items() if c == conv for p in held)
+        assert [t for _, t in places] == own and [p for p, _ in places] == list(range(1, len(own) + 1))
+    said = {(c, x): t for c, t, _, x in rows if x.startswith("message")}
+    for c, t, _, x in rows:
+        if x.startswith(">"):
+            want = said.get((c, x[2:].split("\n")[0]))
+            assert all(r["linked"] == (want is not None) and (want is None or r["parent_turn"] == want) for r in got[c, t])
+
+
+def test_places_and_last_values(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 1, 1, 1, 2, 3]), rng.randint(0, 50), rng.choice([None, rng.randint(0, 9)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, k bigint, at bigint, v bigint")
+    want, held = {}, {}
+    for i, k, _, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0])):
+        n, last = held.get(k, (0, None))
+        want[i] = (n + 1, last)
+        held[k] = (n + 1, last if v is None else v)
+    for parts in ("1", "4", "60"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {r["id"]: (r["place"], r["last"]) for r in sorted_runs.numbered(df, ["k"], ["at", "id"], "v").collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted_runs.numbered(df.limit(0), ["k"], ["at", "id"], "v").count() == 0
+
+
 # pipeline
 
 
