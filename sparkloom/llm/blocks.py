@@ -65,24 +65,31 @@ def exchange(blocks: DataFrame, partitions: int) -> DataFrame:
     return blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
 
-def buckets(batches: Iterable[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
-    """The entries of each bucket from sorted blocks."""
+def buckets(batches: Iterable[pa.RecordBatch], dtype: np.dtype | dict[int, np.dtype]) -> Iterator[tuple[int, np.ndarray]]:
+    """The entries of each bucket from sorted blocks.
+
+    With several kinds of entries, dtype is by the bucket's number modulo 4; kinds but 0
+    pass through, so their blocks are handed on one by one.
+    """
     current, held = None, []
+    of = lambda b: dtype[b % 4] if isinstance(dtype, dict) else dtype
     for batch in batches:
         ids = batch.column(0).to_numpy()
         payload = batch.column(1)
         for i, b in enumerate(ids):
             if b != current and held:
-                yield int(current), np.frombuffer(b"".join(held), dtype)
+                yield int(current), np.frombuffer(b"".join(held), of(current))
                 held = []
             current = b
             held.append(payload[i].as_py())
+            if isinstance(dtype, dict) and b % 4:
+                yield int(b), np.frombuffer(held.pop(), of(b))
     if held:
-        yield int(current), np.frombuffer(b"".join(held), dtype)
+        yield int(current), np.frombuffer(b"".join(held), of(current))
 
 
 def reduce_blocks(
-    blocks: DataFrame, partitions: int, dtype: np.dtype, reducer: Callable[[int, np.ndarray], Iterable[pa.RecordBatch]], schema: str
+    blocks: DataFrame, partitions: int, dtype: np.dtype | dict[int, np.dtype], reducer: Callable[[int, np.ndarray], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, entries in buckets(batches, dtype):

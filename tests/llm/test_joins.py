@@ -56,14 +56,21 @@ def near_copies():
             if k % 4 == 3:
                 base = own  # a chain: later copies drift from the first
     docs += [" ".join(w(40) + passage + w(rng.randint(20, 60))) for _ in range(40)]
+    for size in (30, 120):  # families that crowd a slice and fall into several components
+        base = w(size)
+        for _ in range(100):
+            own = list(base)
+            for _ in range(rng.randint(0, size // 7)):
+                own[rng.randrange(size)] = w(1)[0]
+            docs.append(" ".join(own))
     docs += [docs[3], docs[70].upper(), docs[100], None, "", "   ", "one", "one", "two"]
     out = [(i, t) for i, t in enumerate(docs)]
     rng.shuffle(out)
     return out + [(7, out[7][1]), (7, out[7][1]), (3, "a used id with another text"), (None, docs[60])]
 
 
-@pytest.mark.parametrize("small", [24, 3, 1])
-def test_jaccard(spark, small):
+@pytest.mark.parametrize("small, part", [(24, 2048), (3, 4), (1, 2)])
+def test_jaccard(spark, small, part):
     docs = near_copies()
     sets = [shingles(t) for _, t in docs]
     links = []
@@ -75,10 +82,10 @@ def test_jaccard(spark, small):
     low = -(1 << 63)
     ids = [low if d is None else d for d, _ in docs]
     want = sorted((i, len(s), c) for i, s, c in zip(ids, sets, grouped(len(docs), links, ids), strict=True))
-    got = jaccard_join.report(frame(spark, docs), small).collect()
+    got = jaccard_join.report(frame(spark, docs), small, part).collect()
     fix = lambda v: low if v is None else v
     assert sorted((fix(r["doc_id"]), r["n_shingles"], fix(r["component_id"])) for r in got) == want
-    assert len(links) > 300
+    assert len(links) > 300 and len({c for _, _, c in want}) < len(docs) - 100
 
 
 def test_bands_hold_every_linked_pair():
@@ -89,8 +96,24 @@ def test_bands_hold_every_linked_pair():
             first, last = jaccard_join.bands(np.array([x, y]))
             band = int(np.searchsorted(jaccard_join.BOUNDS, x + y))
             assert all(first <= band) and all(band <= last)
-            k, n, agree, paired = jaccard_join.shape(band)
-            assert k >= (x + y) // 7 and n > k and agree == (3 if paired else n - k)
+            k, n, agree, subsets = jaccard_join.shape(band)
+            assert k >= (x + y) // 7 and n > k and subsets.max() < n and 1 <= agree <= len(subsets)
+
+
+def test_subsets_agree_as_often_as_is_said():
+    """However k differing partitions are placed, at least ``agree`` subsets are free of them, and no fewer can be said."""
+    rng = random.Random(7)
+    for band in range(1, 26):
+        k, n, agree, subsets = jaccard_join.shape(band)
+        if k < 1:
+            continue
+        free = lambda bad: sum(not bad & set(s) for s in subsets.tolist())  # noqa: E731, B023
+        assert min(free(set(rng.sample(range(n), k))) for _ in range(30)) >= agree
+        if subsets.shape[1] == 1 or k <= jaccard_join.PAIRS_UP_TO:
+            worst = set(range(k))
+        else:
+            worst = {3 * i for i in range(min(k, n // 3))} | {3 * i + 1 for i in range(max(0, k - n // 3))}
+        assert free(worst) == agree
 
 
 def test_one_of_each_keeps_columns(spark):
