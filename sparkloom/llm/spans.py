@@ -51,6 +51,40 @@ def merged(entries: np.ndarray) -> np.ndarray:
     return out
 
 
+class Firsts:
+    """Keys that a task has met more than once, each with the first place it has met.
+
+    What comes after a place that went to the key's bucket already needn't go there too,
+    so that a hot passage reaches its bucket a few times for each task, not once for
+    each slice.  Only keys repeated within a slice are kept, MOST of them.
+    """
+
+    MOST = 1 << 16
+    HELD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<u8"), ("place", "<u4")])
+
+    def __init__(self):
+        self.held = np.empty(0, self.HELD)
+
+    def later(self, key: np.ndarray, doc: np.ndarray, text: np.ndarray, place: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """Of one place for each (distinct) key: whether a known place comes before it.  ``repeated`` keys are kept."""
+        new = np.empty(len(key), self.HELD)
+        new["key"], new["doc"], new["text"], new["place"] = key, doc, text, place
+        out = np.zeros(len(new), bool)
+        if len(self.held) and len(new):
+            at = np.minimum(np.searchsorted(self.held["key"], key), len(self.held) - 1)
+            met = self.held["key"][at] == key
+            old = self.held[at]
+            before = (old["doc"] < doc) | (old["doc"] == doc) & ((old["text"] < text) | (old["text"] == text) & (old["place"] < place))
+            out = met & before
+            self.held[at[met & ~before]] = new[met & ~before]
+            repeated = repeated & ~met
+        free = self.MOST - len(self.held)
+        if free > 0 and repeated.any():
+            both = np.concatenate([self.held, new[np.flatnonzero(repeated)[:free]]])
+            self.held = both[np.argsort(both["key"], kind="stable")]
+        return out
+
+
 def gathered(span_blocks: DataFrame, partitions: int) -> DataFrame:
     """One row for each merged span."""
 

@@ -10,9 +10,11 @@ words of the passage before it.
    occur once end there.
 2. For the rest, the documents are joined back and each suffix carries fingerprints of
    the LEFT words before and RIGHT words from its place on.  A bucket sorts its
-   suffixes by what follows, neighbours with too short a common prefix go, and matches
-   are extended left and right: to each left extension o belongs the window of o words
-   before and 50 - o from the place on.
+   suffixes by what follows and takes the common prefix of neighbours; those without a
+   long enough one go.  Matches are extended to the left by the common prefixes of
+   neighbours in the order of what comes before, read backwards: to each left extension
+   o belongs the window of o words before and 50 - o from the place on, and suffixes
+   hold the same one where no common prefix between them is shorter, in either order.
 3. A window of 50 words that another document, or the same one earlier, holds too is
    repeated; all occurrences but the first (doc_id, then place) are reported, joined
    into maximal spans.
@@ -21,8 +23,9 @@ A word is covered exactly if it lies in a window of 50 words that occurs earlier
 Words are compared lower-cased (A-Z), split at ASCII white space.
 
 Scale: step 1 ships 29 bytes for about every ninth word; repeats within a 4 MB slice
-are settled there, both in step 1 and, for equal contexts, in step 2, so that a hot
-passage reaches its bucket once per slice.
+are settled there, both in step 1 and, for equal contexts, in step 2, and a task
+remembers the repeats of its slices, so that a hot passage reaches its bucket a few
+times for each task.
 
 Defined results: null, empty and short texts yield nothing; a null doc_id counts as
 the least; rows alike in doc_id and text are one document; extra columns are not read.
@@ -76,6 +79,7 @@ def minimisers(words: Words) -> np.ndarray:
 
 def _suffixes(n_buckets: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = spans.Firsts()
         for batch in batches:
             doc, text = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             raw, offsets = string_buffers(batch.column(1))
@@ -94,6 +98,8 @@ def _suffixes(n_buckets: int):
                 size = np.diff(np.r_[begin, len(out)])
                 out["known"] = np.repeat(size > 1, size) * 2
                 out["known"][begin[size > 1]] = 1
+                met = known.later(*(out[c][begin] for c in ("key", "doc", "text", "place")), size > 1)
+                out["known"][begin[met]] = 2
                 spare = out["known"] == 2
                 bucket = np.where(spare, spans.doc_bucket(out["doc"], out["text"], n_buckets), blocks.bucket_of(out["key"], n_buckets))
                 yield blocks.pack(bucket, out)
@@ -143,6 +149,7 @@ def _contexts(n_buckets: int):
     lanes = np.arange(LEFT + RIGHT) - LEFT
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = spans.Firsts()
         for batch in batches:
             doc, text = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             raw, offsets = string_buffers(batch.column(1))
@@ -159,12 +166,12 @@ def _contexts(n_buckets: int):
                 grams = runs(words.hash, RIGHT_KEY, 5)
                 for a in range(0, len(at), 1 << 15):
                     part = slice(a, a + (1 << 15))
-                    yield from _emit(words, grams, at[part], row[part], place[part], doc[lo:hi], text[lo:hi], lanes, n_buckets)
+                    yield from _emit(words, grams, at[part], row[part], place[part], doc[lo:hi], text[lo:hi], lanes, n_buckets, known)
 
     return kernel
 
 
-def _emit(words, grams, at, row, place, doc, text, lanes, n_buckets):
+def _emit(words, grams, at, row, place, doc, text, lanes, n_buckets, known):
     out = np.zeros(len(at), CONTEXT)
     out["key"], out["doc"], out["text"], out["place"] = grams[at], doc[row], text[row], place
     out["n_left"] = np.minimum(place, LEFT)
@@ -180,6 +187,9 @@ def _emit(words, grams, at, row, place, doc, text, lanes, n_buckets):
     out, view = out[once], view[once]
     spare = np.zeros(len(out), bool)
     spare[1:] = view[1:] == view[:-1]
+    first = np.flatnonzero(~spare)
+    met = np.diff(np.r_[first, len(out)]) > 1
+    spare[first] = known.later(runs_of_rows(out["words"][first].astype(np.uint64)), *(out[c][first] for c in ("doc", "text", "place")), met)
     out["kind"] = spare
     bucket = np.where(spare, spans.doc_bucket(out["doc"], out["text"], n_buckets), blocks.bucket_of(out["key"], n_buckets))
     for flag in (False, True):
@@ -191,6 +201,15 @@ def _windows(out: np.ndarray, o: int) -> np.ndarray:
     return (out["n_left"] >= o) & (out["n_right"] >= MIN_WORDS - o)
 
 
+def _sorted_prefixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows, and how many words each has in common with its predecessor in it (the first none)."""
+    rows = np.ascontiguousarray(rows)
+    order = np.argsort(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), kind="stable")
+    held = rows[order]
+    same = held[1:] == held[:-1]
+    return order, np.r_[0, np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))]
+
+
 def _extend(n_buckets: int):
     def reducer(_: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
         spare, rest = entries[entries["kind"] == 1], entries[entries["kind"] == 0]
@@ -198,28 +217,36 @@ def _extend(n_buckets: int):
         for o in range(MARGIN, LEFT + 1):
             own = spare[_windows(spare, o)]
             found.append((own["doc"], own["text"], own["place"] - np.uint32(o)))
-        # the sparse suffix array: by what follows
-        view = np.ascontiguousarray(rest["words"][:, LEFT:]).view(np.dtype((np.void, 4 * RIGHT))).ravel()
-        rest = rest[np.lexsort((rest["place"], rest["text"], rest["doc"], np.unique(view, return_inverse=True)[1]))]
+        rest = rest[np.lexsort((rest["place"], rest["text"], rest["doc"]))]
         rest = rest[group_starts(rest["doc"], rest["text"], rest["place"])]  # rows repeated as a whole
         if len(rest) > 1:
-            same = rest["words"][1:, LEFT:] == rest["words"][:-1, LEFT:]
-            common = np.where(same.all(axis=1), RIGHT, same.argmin(axis=1))
-            best = np.maximum(np.r_[0, common], np.r_[common, 0])
-            rest = rest[best >= RIGHT_KEY]
+            # the sparse suffix array: by what follows; a suffix without a long enough match beside it goes
+            order, right = _sorted_prefixes(rest["words"][:, LEFT:])
+            rest = rest[order]
+            keep = np.maximum(right, np.r_[right[1:], 0]) >= RIGHT_KEY
+            keep_from = np.flatnonzero(keep)
+            # between suffixes kept lie only ones that match neither side
+            right = np.minimum.reduceat(right[: keep_from[-1] + 1], np.r_[0, keep_from[:-1] + 1]) if len(keep_from) else right[:0]
+            rest = rest[keep]
         else:
-            rest = rest[:0]
-        for o in range(MARGIN, LEFT + 1) if len(rest) else ():
-            own = rest[_windows(rest, o)]
-            if len(own) < 2:
-                continue
-            lanes = own["words"][:, LEFT - o : LEFT + MIN_WORDS - o].astype(np.uint64)
-            value = runs_of_rows(lanes)
-            order = np.lexsort((own["place"], own["text"], own["doc"], value))
-            own, value = own[order], value[order]
-            later = np.zeros(len(own), bool)
-            later[1:] = value[1:] == value[:-1]
-            found.append((own["doc"][later], own["text"][later], own["place"][later] - np.uint32(o)))
+            rest, right = rest[:0], np.zeros(0, np.int64)
+        if len(rest) > 1:
+            # matches of neighbours extended to the left: by what comes before, backwards
+            back, left = _sorted_prefixes(rest["words"][:, LEFT - 1 :: -1][:, :LEFT])
+            group = np.empty(len(rest), np.int64)
+            for o in range(MARGIN, LEFT + 1):
+                # suffixes are alike 50 - o words on, and o words back, where no neighbour between them differs earlier
+                group[back] = np.cumsum(left < o)
+                alike = np.cumsum(right < MIN_WORDS - o) * (len(rest) + 1) + group
+                fit = np.flatnonzero(_windows(rest, o))
+                if len(fit) < 2:
+                    continue
+                own, alike = rest[fit], alike[fit]
+                by = np.lexsort((own["place"], own["text"], own["doc"], alike))
+                own, alike = own[by], alike[by]
+                later = np.zeros(len(own), bool)
+                later[1:] = alike[1:] == alike[:-1]
+                found.append((own["doc"][later], own["text"][later], own["place"][later] - np.uint32(o)))
         doc, text, start = (np.concatenate([f[i] for f in found]) for i in range(3))
         if len(doc):
             out = np.empty(len(doc), spans.SPAN)
