@@ -54,12 +54,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr(DOC, "start AS start_byte", "end AS end_byte")
 
 
-def op9_whole_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op9_substring_dedup, but runs of too few words are lengthened and not left alone."""
-    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), lengthen=True)
-    return found.selectExpr(DOC, "start AS start_byte", "end AS end_byte")
-
-
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -76,7 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_packing,
         op8_embedding_dedup,
         op9_substring_dedup,
-        op9_whole_passage_dedup,
         op10_quality_classifier,
     ]
     return {f.__name__: f for f in held}

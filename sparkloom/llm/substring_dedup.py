@@ -7,18 +7,18 @@ occur more than once anywhere are joined on the hash; each occurrence but the fi
 A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line break;
 its words are compared lower-cased (A-Z) without punctuation.  Sentences without a
 word don't count.  A run of fewer than ``min_words`` words is too common to be a
-copy and is left alone; fewer than ``run`` sentences are a run too if they hold
-LONG words, so that a long passage of one or two sentences is found.
+copy; fewer than ``run`` sentences are a run too if they hold LONG words, so that a
+long passage of one or two sentences is found.
 
-With ``lengthen`` a run of too few words isn't left alone: it goes on, sentence by
-sentence, until it holds ``min_words``, and two sentences are a run from PAIR words
-on.  So a stretch of ``run`` sentences and ``min_words`` words always holds a run,
-however short its sentences or lines are; what such a stretch may lose is its end,
-of fewer than ``min_words`` words or ``run`` sentences.
+A run of too few words goes on, sentence by sentence, until it holds ``min_words``, and
+two sentences are a run from PAIR words on.  So a stretch of ``run`` sentences and
+``min_words`` words always holds a run, however short its sentences or lines are; what
+such a stretch may lose is its end, of fewer than ``min_words`` words or ``run``
+sentences.  (``lengthen=False`` leaves short runs alone.)
 
-Scale: one map pass ships 32 bytes for each sentence.  Runs repeated within a slice
-of 4 MB are settled there and only their first is compared globally, so that a
-passage on a third of all rows reaches its bucket once per slice.
+Scale: one map pass ships 33 bytes for each sentence.  Runs repeated within a slice
+of 4 MB are settled there, and a task remembers the repeated runs of its slices, so
+that a passage on a third of all rows reaches its bucket a few times for each task.
 
 Defined results: a null or empty text has no sentence and yields no span.  A null
 doc_id counts as the least id.  Rows alike in doc_id and text are one document.
@@ -98,6 +98,7 @@ def _run_places(row: np.ndarray, total: np.ndarray, run: int, min_words: int, le
 
 def _map(run: int, min_words: int, n_buckets: int, lengthen: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = spans.Firsts()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             text = batch.column(2).to_numpy().view(np.uint64)
@@ -115,6 +116,9 @@ def _map(run: int, min_words: int, n_buckets: int, lengthen: bool):
                 if not len(out):
                     continue
                 out, later = _later(out)
+                first = np.flatnonzero(~later)
+                met = np.diff(np.r_[first, len(out)]) > 1
+                later[first] = known.later(*(out[c][first] for c in ("key", "doc", "text", "start")), met)
                 out["known"] = later
                 bucket = np.where(later, spans.doc_bucket(out["doc"], out["text"], n_buckets), blocks.bucket_of(out["key"], n_buckets))
                 yield blocks.pack(bucket, out)
@@ -131,7 +135,7 @@ def _later(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, later
 
 
-def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lengthen: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lengthen: bool = True) -> DataFrame:
     """One row for each removed stretch: doc_id, text_hash, start and end in bytes of the text's UTF-8."""
     n_buckets, parts = blocks.bucket_count(docs), blocks.partition_count(docs)
 
@@ -149,7 +153,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     return spans.gathered(blocks.reduce_blocks(first, parts, ENTRY, reducer, blocks.BLOCK_SCHEMA), parts)
 
 
-def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lengthen: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lengthen: bool = True) -> DataFrame:
     """docs with repeated stretches cut out of text; a document of which nothing is left goes.
 
     All columns stay; n_chars, where there is one, is counted anew for changed texts.

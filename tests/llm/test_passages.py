@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import decontaminate, substring_dedup, suffix_dedup
+from sparkloom.llm import decontaminate, spans, substring_dedup, suffix_dedup
 
 DOCS = "doc_id bigint, text string, start string, text_hash string, __key string, n_chars bigint"
 
@@ -89,7 +90,7 @@ def test_sentence_spans(spark):
     docs += [(70 + i, f"{' '.join(words(rng, 20))}.\n{long}.\n{' '.join(words(rng, 9))}.") for i in range(3)]
     docs += [(60, docs[3][1]), (None, docs[4][1]), (61, None), (62, ""), (3, docs[3][1]), (63, "All. Of. It. " * 30)]
     df = frame(spark, docs)
-    got = substring_dedup.repeated_spans(df).collect()
+    got = substring_dedup.repeated_spans(df, lengthen=False).collect()
     hashes = {r["h"]: r["text"] for r in df.selectExpr("xxhash64(text) AS h", "text").collect()}
     have = {(r["doc_id"], hashes[r["text_hash"]], r["start"], r["end"]) for r in got}
     where, by_hash = {}, {t: h for h, t in hashes.items()}
@@ -116,7 +117,7 @@ def test_sentence_spans(spark):
         want.add((d, t, a, b))
     assert have == want and want
     # cutting them out leaves the bytes between, all columns and rows without repeats untouched
-    out = substring_dedup.without_repeats(df)
+    out = substring_dedup.without_repeats(df, lengthen=False)
     assert out.columns == df.columns
     left = {(r["doc_id"], r["text"]) for r in out.collect()}
     for d, t in docs:
@@ -193,6 +194,25 @@ def lengthened_runs(s):
                 break
 
 
+def test_firsts_know_what_comes_later():
+    """Whatever the slices, only places after one that went on are held back."""
+    rng = random.Random(6)
+    known, sent, least = spans.Firsts(), {}, {}
+    known.MOST = 40
+    for _ in range(200):
+        keys = sorted(rng.sample(range(100), rng.randint(0, 30)))
+        place = [(rng.randint(-3, 3), rng.randint(0, 2), rng.randint(0, 5)) for _ in keys]
+        columns = [np.array([p[i] for p in place], t) for i, t in enumerate((np.int64, np.uint64, np.uint32))]
+        later = known.later(np.array(keys, np.uint64), *columns, np.array([rng.random() < 0.5 for _ in keys], bool))
+        for k, p, l in zip(keys, place, later, strict=True):
+            if l:
+                assert least[k] < p and least[k] in sent[k]
+            else:
+                sent.setdefault(k, set()).add(p)
+            least[k] = min(least.get(k, p), p)
+    assert len(known.held) == 40 and all(least[k] in sent[k] for k in least)
+
+
 def test_short_sentences_are_not_left_alone(spark):
     rng = random.Random(5)
     menu = "\n".join(words(rng, 150, 10**6))
