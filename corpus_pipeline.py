@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, jaccard_join, packing, substring_dedup
 from sparkloom.llm import quality as classifier
-from sparkloom.llm.common import table, written
+from sparkloom.llm.common import held, release, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.without_repeats(docs, lengthen=True)
+    return substring_dedup.without_repeats(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), held()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before, docs)  # the stage's own tables, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)
