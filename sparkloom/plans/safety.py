@@ -336,6 +336,45 @@ def budgets(s, d):
 _BYTES = N_CUSTOMERS * (21 + 65 + 25) + N_ORDERS * (65 + 21 + 21 + 25 + 25 + 6 + 11 + 11 + 65)
 BUDGETS = values("tried, refused, bytes", [(n, r, _BYTES) for n, r in (("small", False), ("rows", True), ("rows, no limits", False), ("columns", True), ("output bytes", True), ("input", False), ("input rows", True), ("input cells", True), ("files", True), ("input bytes", True))])
 
+def work(s, d):
+    """What an invocation may ask for: each dimension at its limit and beyond."""
+    from sparkloom.sources.budget import INVOCATION, WorkBudget
+    from sparkloom.sources.query_source import profile_query
+
+    rows = []
+    for k, most in sorted(INVOCATION.items()):
+        if k != "seconds":
+            tried = refusals(s, [(k, lambda k=k, n=n: WorkBudget().charge(**{k: n})) for n in (most, most + 1)])
+            rows.append((k, tried[0][1], tried[1][1]))
+    lines = table(s, d, "lineitem")
+    lines.createOrReplaceTempView("sparkloom_work")
+    sql = "SELECT l_quantity, l_tax FROM sparkloom_work WHERE l_tax >= 0"
+    one = WorkBudget({"statements": 1})
+    now = iter([0.0, 0.0, 5.0, 5.0, 5.0])
+    late = WorkBudget({"seconds": 3.0}, clock=lambda: next(now))
+    slow = lines.select(F.sum(F.length(F.sha2(F.repeat(F.col("l_linenumber").cast("string"), 200_000), 512))).alias("x"))
+
+    def scanned_twice():
+        one.charge_scan(lines)
+        one.charge_scan(lines)
+
+    def cancelled():
+        held = WorkBudget({"seconds": 0.5})
+        with held.running(s):
+            slow.collect()
+
+    tries = [
+        ("profile", lambda: profile_query(s, sql, budget=WorkBudget())), ("profiled columns", lambda: profile_query(s, sql, budget=WorkBudget({"profiled_columns": 1}))),
+        ("scan bytes", lambda: profile_query(s, sql, budget=WorkBudget({"scan_bytes": 10}))), ("two statements", scanned_twice), ("late", lambda: (late.check_time(), late.check_time())), ("cancelled", cancelled),
+        ("rows", lambda: WorkBudget({"rows": 10}).rows(lines)), ("cells", lambda: WorkBudget({"cells": 10}).rows(lines)), ("result bytes", lambda: WorkBudget({"result_bytes": 10}).rows(table(s, d, "nation"))),
+        ("few rows", lambda: WorkBudget({"rows": 25, "cells": 1000, "result_bytes": 100_000}).rows(table(s, d, "nation"))),
+    ]
+    return s.createDataFrame([*rows, *((n, None, r) for n, r in refusals(s, tries))], "dimension string, at_limit boolean, beyond boolean")
+
+
+_DIMENSIONS = ("argument_bytes", "depth", "nodes", "payload_bytes", "profiled_columns", "projected_columns", "response_bytes", "result_bytes", "sql_chars", "statements")
+WORK = values("dimension, at_limit, beyond", [(k, False, True) for k in _DIMENSIONS] + [(n, None, r) for n, r in (("profile", False), ("profiled columns", True), ("scan bytes", True), ("two statements", True), ("late", True), ("cancelled", True), ("rows", True), ("cells", True), ("result bytes", True), ("few rows", False))])
+
 # rules
 
 TIMES = {"row_rules": [{"kind": "temporal_ordering", "table": "shipped", "start_field": "o_orderdate", "end_field": "l_shipdate", "allow_equal": a} for a in (True, False)]}
@@ -529,6 +568,7 @@ SAFETY = [
     ("fk_assign_one_to_one", one_to_one, ONE_TO_ONE),
     ("value_provider", provided, PROVIDED),
     ("budgets", budgets, BUDGETS),
+    ("work_budgets", work, WORK),
     ("rule_times", times, TIMES_SQL),
     ("rule_edges", edges, EDGES),
     ("rule_contracts", contracts, values("tried, refused", [(n, r) for n, _, r in CONTRACTS])),

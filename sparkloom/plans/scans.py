@@ -246,6 +246,32 @@ def jdbc(s, d):
     return back.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
+def database(s, d):
+    """A read-only database source under a budget: its rows, what it refuses, and how it opens its sessions."""
+    from sparkloom.sources.budget import WorkBudget
+    from sparkloom.sources.databases import Database, keys_of
+
+    url, driver = "jdbc:derby:memory:sparkloomnations;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    s.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    table(s, d, "nation").select("n_nationkey", "n_regionkey").write.mode("overwrite").format("jdbc").options(url=url, dbtable="nations", **driver).save()
+    sql = 'SELECT "n_regionkey", count(*) AS "n" FROM nations GROUP BY "n_regionkey"'
+    held = Database(s, url, driver, WorkBudget({"statements": 2, "rows": 100, "cells": 1000}))
+    rows = [(f"region {r[0]}", int(r[1])) for r in held.rows(sql)]
+    tries = [
+        ("write", lambda: held.query("DELETE FROM nations")), ("second", lambda: held.query(sql)), ("third", lambda: held.query(sql)),
+        ("rows", lambda: Database(s, url, driver, WorkBudget({"rows": 3})).rows(sql)), ("two statements", lambda: held.query("SELECT 1; SELECT 2")),
+    ]
+    opened = Database(s, "jdbc:postgresql://host/db", budget=WorkBudget({"seconds": 9.0}, clock=lambda: 0.0)).session()
+    rows += [(n, int(r)) for n, r in refusals(s, tries)] + [("read only", int("READ ONLY" in opened["sessionInitStatement"])), ("timeout", int(opened["queryTimeout"]))]
+    keys = keys_of([("a", "id", 1), ("b", "x", 1), ("b", "y", 2)], [("b", "a_id", "a", "id", "f", 1), ("c", "p", "b", "x", "g", 1), ("c", "q", "b", "y", "g", 2)])
+    return s.createDataFrame([*rows, ("primary keys", len(keys.primary)), ("foreign keys", len(keys.foreign))], "what string, n bigint")
+
+
+DATABASE = "SELECT 'region ' || n_regionkey AS what, count(*) AS n FROM nation GROUP BY 1 UNION ALL " + values(
+    "what, n", [("write", 1), ("second", 0), ("third", 1), ("rows", 1), ("two statements", 1), ("read only", 1), ("timeout", 9), ("primary keys", 1), ("foreign keys", 1)]
+)
+
+
 def listing(s, d):
     """Columns of a table as the catalog shows them, and what an allowlist leaves of the tables."""
     for n in ("orders", "nation"):
@@ -339,6 +365,7 @@ SCANS = [
     ("type_names", type_names, values("name, logical", TYPE_NAMES)),
     ("profile_cache", cache, "SELECT 2::BIGINT AS keys, 2::BIGINT AS made, count(*) AS n_rows FROM nation"),
     ("jdbc_customers", jdbc, "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2)::DOUBLE AS balance FROM customer WHERE c_acctbal >= 0 GROUP BY 1"),
+    ("database_source", database, DATABASE),
     ("catalog_listing", listing, LISTING),
     ("query_policies", policies, values("statement, source_refused, safe_refused", STATEMENTS)),
     ("query_source_star", star, "SELECT 'r_name,r_regionkey' AS outputs, 'string,' || CASE data_type WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS types, r_name || '|' || r_regionkey AS cells FROM region, (SELECT data_type FROM information_schema.columns WHERE table_name = 'region' AND column_name = 'r_regionkey')"),

@@ -22,6 +22,7 @@ from sparkloom.functions import parse, privacy
 from sparkloom.model import Dataset, Entity
 from sparkloom.operators import profile
 from sparkloom.operators.profile import q
+from sparkloom.sources.budget import WorkBudget
 
 POLICY_VERSION = "1"
 MOST_NODES, MOST_DEPTH, MOST_ROWS, MOST_CHARS = 512, 32, 1000, 20_000
@@ -178,10 +179,19 @@ def mask_rows(df: DataFrame) -> DataFrame:
     return df.select(*(privacy.mask_nested(q(f.name), f.dataType, name=f.name).alias(f.name) for f in df.schema))
 
 
-def profile_query(spark: SparkSession, sql: str, allowed: dict[str, set[str]] | None = None, keep_values: tuple[str, ...] = ()) -> Dataset:
+def profile_query(spark: SparkSession, sql: str, allowed: dict[str, set[str]] | None = None, keep_values: tuple[str, ...] = (), budget: WorkBudget | None = None) -> Dataset:
     """Profile of a query's result without bounds or values of its own: numbers get a shape only."""
+    budget = budget or WorkBudget({})
+    budget.charge(sql_chars=len(sql))
     checked, df = query_source(spark, sql, allowed)
     name = checked.table.split(".")[-1]
+    budget.charge(profiled_columns=len(df.columns))
+    budget.charge_scan(df)
+    with budget.running(spark):
+        return _profiled(df, name, checked, keep_values)
+
+
+def _profiled(df: DataFrame, name: str, checked: Checked, keep_values: tuple[str, ...]) -> Dataset:
     held: Entity = profile.profile(df, name, keep_values)
     shapes = {f.name for f in held.fields if (f.distribution or {}).get("kind") == "numeric"}
     if shapes:

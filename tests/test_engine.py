@@ -543,6 +543,26 @@ def test_bundle(spark, tmp_path):
 # streams
 
 
+def test_catalog_queries_are_standard():
+    """The catalog's SQL, run by a database that has an information_schema."""
+    import duckdb
+
+    from sparkloom.sources import databases
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE parent (id INTEGER PRIMARY KEY, name VARCHAR, CHECK (id > 0))")
+    con.execute("CREATE TABLE child (a INTEGER, b INTEGER, parent_id INTEGER REFERENCES parent (id), PRIMARY KEY (a, b))")
+    run = lambda sql: con.execute(sql).fetchall()
+    assert run(databases.tables_sql("main")) == [("child",), ("parent",)]
+    assert [r[:2] for r in run(databases.columns_sql("main", ["parent"]))] == [("parent", "id"), ("parent", "name")] and len(run(databases.columns_sql("main", ["*"]))) == 5
+    assert run(databases.tables_sql("it's")) == []
+    keys = databases.keys_of(run(databases.primary_keys_sql("main")), [])
+    assert keys.primary == {"parent": "id"}
+    assert any("id > 0" in r[2] for r in run(databases.checks_sql("main")))
+    for sql in (databases.foreign_keys_sql("main"),):
+        con.execute(f"EXPLAIN {sql}")
+
+
 def test_stream(spark, tmp_path):
     rows = [(i, i % 3) for i in range(300)]
     for k in range(3):
