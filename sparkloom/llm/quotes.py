@@ -15,8 +15,9 @@ conversation is named as foreign.
 
 Messages are returned in reply order, each with its own words only, its parent turn
 (the quoted message of the least level, else the turn before) and its depth of quotes.
-``position`` is the place by (turn, role, place in the table): a message comes after
-every message that it may answer.
+``position`` is the place in the reply tree read depth first: a message comes after the
+one it quotes, or after the one before it; answers to one message come by (turn, role,
+place in the table).
 
 Scale: texts are parsed in one linear Arrow pass and written without their quotations;
 a second pass hashes the pieces of originals, and only those that are quoted somewhere
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import sorted_runs
+from sparkloom.llm import reply_order, sorted_runs
 from sparkloom.llm.common import written
 
 MIN_CHARS = 8
@@ -161,6 +162,16 @@ def _foreign(quoted: DataFrame, held: DataFrame, min_chars: int) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct("rank", F.col("o_conv").alias("conv"))).alias("least")).select("id", F.col("least.conv").alias("__foreign"))
 
 
+def _in_reply_order(out: DataFrame, messages: DataFrame, places: DataFrame, inside: DataFrame) -> DataFrame:
+    """out with the places of branching conversations replaced by those in their reply trees."""
+    conv = F.xxhash64("conv_id", F.col("conv_id").isNull())
+    placed = messages.select("id", conv.alias("conv"), "turn").join(places.select("id", "place"), "id")
+    found = written(reply_order.jumps(placed, inside.select("id", F.col("__parent").alias("parent"))), "jumps")
+    if found.isEmpty():
+        return out
+    return out.join(reply_order.positions(placed, found), "id", "left").withColumn("place", F.coalesce("position", "place")).drop("position")
+
+
 def linked(conversations: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """conv_id, turn, role, text (own words), n_quoted, max_level, parent_turn, linked, foreign_conv, position."""
     base = conversations.select(
@@ -178,7 +189,9 @@ def linked(conversations: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         wanted = written(quoted.select("hash").distinct(), "quoted-hashes")
         held = base.select("conv_id", "turn", "text").mapInArrow(_originals(min_chars), "conv_id bigint, turn bigint, hash binary")
         held = written(held.join(wanted, "hash", "left_semi"), "originals")
-        out = out.join(_inside(quoted, held), "id", "left").join(_foreign(quoted, held, min_chars), "id", "left")
+        inside = written(_inside(quoted, held), "answers")
+        out = out.join(inside, "id", "left").join(_foreign(quoted, held, min_chars), "id", "left")
+        out = _in_reply_order(out, messages, places, inside)
     return out.select(
         "conv_id",
         "turn",

@@ -425,8 +425,10 @@ def test_quotes_in_one_large_conversation(spark):
         got.setdefault((r["conv_id"], r["turn"]), []).append(r)
     for conv in (None, 5):
         own = sorted((t for c, t, _, _ in rows if c == conv), key=lambda t: (t is not None, t or 0))
-        places = sorted((p["position"], t) for (c, t), held in got.items() if c == conv for p in held)
-        assert [t for _, t in places] == own and [p for p, _ in places] == list(range(1, len(own) + 1))
+        places = sorted((p["position"], t is not None, t or 0) for (c, t), held in got.items() if c == conv for p in held)
+        assert [p for p, _, _ in places] == list(range(1, len(own) + 1)) and sorted((a, t) for _, a, t in places) == [(t is not None, t or 0) for t in own]
+        at = {t: p["position"] for (c, t), held in got.items() if c == conv and len(held) == 1 for p in held}
+        assert all(at[t] > at[p["parent_turn"]] for (c, t), held in got.items() if c == conv and t in at for p in held if p["parent_turn"] is not None and p["parent_turn"] in at)
     said = {(c, x): t for c, t, _, x in rows if x.startswith("message")}
     for c, t, _, x in rows:
         if x.startswith(">"):
@@ -434,6 +436,36 @@ def test_quotes_in_one_large_conversation(spark):
             assert all(r["linked"] == (want is not None) and (want is None or r["parent_turn"] == want) for r in got[c, t])
 
 
+def test_reply_order(spark):
+    """Conversations read depth first, against a plain walk of the tree."""
+    rng = random.Random(12)
+    rows, parent = [], {}
+    for conv in [None, *range(25)]:
+        for turn in range(rng.choice([1, 2, 6, 15, 40])):
+            quotes_ = turn > 1 and rng.random() < 0.4
+            back = rng.randint(0, turn - 1) if quotes_ else turn - 1
+            parent[conv, turn] = back
+            head = f"> message {conv} number {back} of all\n" if quotes_ else ""
+            rows.append((conv, turn, "user", f"{head}message {conv} number {turn} of all"))
+    want = {}
+    for conv in {c for c, _ in parent}:
+        kids, order = {}, []
+        for (c, t), p in sorted(parent.items(), key=lambda x: (str(x[0][0]), x[0][1])):
+            if c == conv and t:
+                kids.setdefault(p, []).append(t)
+        walk = [0]
+        while walk:
+            t = walk.pop()
+            order.append(t)
+            walk += sorted(kids.get(t, []), reverse=True)
+        want |= {(conv, t): i for i, t in enumerate(order, 1)}
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got = quotes.linked(df).collect()
+    assert {(r["conv_id"], r["turn"]): r["position"] for r in got} == want and len(got) == len(rows)
+    assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in got if r["turn"]} == {k: p for k, p in parent.items() if k[1]}
+    assert any(want[k] != k[1] + 1 for k in want)
+
+
 def test_places_and_last_values(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, 1, 1, 1, 2, 3]), rng.randint(0, 50), rng.choice([None, rng.randint(0, 9)])) for i in range(500)]
