@@ -104,7 +104,7 @@ SELECT doc_id, min(i) AS start_word, max(i) + 50 AS end_word, max(i) + 50 - min(
 """
 
 OP2 = r"""
-WITH msgs AS (
+WITH RECURSIVE msgs AS (
   SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
 ), lines AS (
   SELECT r, conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i, regexp_matches(text, '(?m)^[ \t]*>') AS q FROM msgs
@@ -115,22 +115,40 @@ WITH msgs AS (
   SELECT *, i - row_number() OVER (PARTITION BY r, lv ORDER BY i) AS g FROM levels
 ), parts AS (
   SELECT r, conv_id, turn, lv, min(i) AS place, string_agg(body, chr(10) ORDER BY i) AS body FROM runs GROUP BY r, conv_id, turn, lv, g
+), pieces AS (
+  SELECT r, conv_id, turn, lv, 0 AS rank, body AS piece FROM parts
+  UNION ALL SELECT r, conv_id, turn, lv, 1, unnest(string_split_regex(body, '\n(?:[ \t\r]*\n)+')) FROM parts WHERE contains(body, chr(10))
+  UNION ALL SELECT r, conv_id, turn, lv, 2, unnest(string_split(body, chr(10))) FROM parts WHERE contains(body, chr(10))
 ), normal AS (
-  SELECT *, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g')) AS norm FROM parts
-), quoted AS (SELECT * FROM normal WHERE lv > 0 AND length(norm) >= 8
-), originals AS (SELECT DISTINCT conv_id, turn, norm FROM normal WHERE lv = 0 AND length(norm) >= 8
+  SELECT *, length(norm) AS n FROM (SELECT *, trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g')) AS norm FROM pieces)
+  WHERE length(norm) >= 8 OR rank = 0 AND length(norm) > 0
+), quoted AS (SELECT *, row_number() OVER () AS q FROM normal WHERE lv > 0
+), originals AS (SELECT DISTINCT conv_id, turn, norm FROM normal WHERE lv = 0
 ), inside AS (
-  SELECT q.r, q.lv, max(o.turn) AS found FROM quoted q JOIN originals o ON o.norm = q.norm AND o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.turn < q.turn GROUP BY q.r, q.lv, q.place
-), parent AS (SELECT r, found FROM (SELECT r, found, row_number() OVER (PARTITION BY r ORDER BY lv, found DESC) AS k FROM inside) WHERE k = 1
-), firsts AS (SELECT norm, min(conv_id) AS o_conv FROM originals GROUP BY norm
-), foreign_ AS (SELECT q.r, min(o_conv) AS f FROM quoted q JOIN firsts USING (norm) WHERE o_conv IS DISTINCT FROM q.conv_id GROUP BY q.r
+  SELECT q.q, q.r, q.lv, q.rank, q.n, max(o.turn) AS found FROM quoted q JOIN originals o ON o.norm = q.norm AND o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.turn < q.turn GROUP BY ALL
+), summed AS (
+  SELECT r, lv, rank, found, CASE WHEN rank > 0 THEN sum(n) ELSE 0 END AS n FROM inside GROUP BY r, lv, rank, found
+), parent AS (
+  SELECT r, found FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lv, rank, n DESC, found DESC) AS k FROM summed) WHERE k = 1
+), firsts AS (
+  SELECT norm, conv_id AS o_conv FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY conv_id NULLS FIRST, turn NULLS FIRST) AS k FROM originals) WHERE k = 1
+), foreign_ AS (
+  SELECT r, o_conv AS f FROM (SELECT q.r, o_conv, row_number() OVER (PARTITION BY q.r ORDER BY q.rank, o_conv NULLS FIRST) AS k FROM quoted q JOIN firsts USING (norm) WHERE q.n >= 8 AND o_conv IS DISTINCT FROM q.conv_id) WHERE k = 1
 ), own AS (
   SELECT r, trim(string_agg(trim(body, ' ' || chr(10)), chr(10) ORDER BY place) FILTER (lv = 0), ' ' || chr(10)) AS text, count(*) FILTER (lv > 0) AS n_quoted, max(lv) AS max_level FROM parts GROUP BY r
+), placed AS (
+  SELECT m.*, p.found, row_number() OVER w AS place, last_value(m.turn IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM msgs m LEFT JOIN parent p USING (r) WINDOW w AS (PARTITION BY m.conv_id ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, r)
+), turns AS (SELECT conv_id, turn, max(place) AS last_place FROM placed GROUP BY conv_id, turn
+), tree AS (
+  SELECT a.r, a.conv_id, a.place, CASE WHEN a.found IS NULL THEN a.place - 1 ELSE t.last_place END AS up FROM placed a LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.turn = a.found
+), walk(r, conv_id, place, path) AS (
+  SELECT r, conv_id, place, [place] FROM tree WHERE up = 0
+  UNION ALL SELECT t.r, t.conv_id, t.place, list_append(w.path, t.place) FROM walk w JOIN tree t ON t.up = w.place AND t.conv_id IS NOT DISTINCT FROM w.conv_id
 )
 SELECT m.conv_id, m.turn, m.role, coalesce(o.text, '') AS text, o.n_quoted, o.max_level::BIGINT AS max_level,
-       coalesce(p.found, lag(m.turn) OVER w) AS parent_turn, p.found IS NOT NULL AS linked, CASE WHEN p.found IS NULL THEN x.f END AS foreign_conv, row_number() OVER w AS position
-FROM msgs m JOIN own o USING (r) LEFT JOIN parent p USING (r) LEFT JOIN foreign_ x USING (r)
-WINDOW w AS (PARTITION BY m.conv_id ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, o.text NULLS FIRST, r)
+       coalesce(m.found, m.before) AS parent_turn, m.found IS NOT NULL AS linked, CASE WHEN m.found IS NULL THEN x.f END AS foreign_conv, row_number() OVER (PARTITION BY m.conv_id ORDER BY k.path) AS position
+FROM placed m JOIN own o USING (r) JOIN walk k USING (r) LEFT JOIN foreign_ x USING (r)
 """
 
 _UUID = "'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"

@@ -466,6 +466,39 @@ def test_reply_order(spark):
     assert any(want[k] != k[1] + 1 for k in want)
 
 
+def test_quotes_against_sql(spark, tmp_path):
+    """The operator and its SQL on conversations full of quotations: whole, parts, nested, foreign, repeated, without ids."""
+    import duckdb
+
+    from sparkloom.llm.oracles import ORACLES
+
+    rng = random.Random(21)
+    said = [f"{rng.choice(['A', 'Some', 'one'])} remark {i % 23} about {rng.choice('xyz')}" for i in range(60)] + ["Yes.", "no", ""]
+    rows = []
+    for conv in [None, 1, 2, 3, 4, 5]:
+        earlier = []
+        for turn in range(14):
+            own = "\n\n".join("\n".join(rng.sample(said, rng.randint(1, 3))) for _ in range(rng.randint(1, 2)))
+            text = own
+            if rng.random() < 0.6:
+                lines = (rng.choice(earlier) if earlier and rng.random() < 0.7 else own).split("\n")
+                cut = lines[rng.randrange(len(lines)) :] if rng.random() < 0.4 else lines
+                mark = rng.choice(["> ", ">", ">> ", " > "])
+                text = "\n".join(mark + x if x or rng.random() < 0.5 else x for x in cut) + "\n" + rng.choice(said)
+            earlier.append(own)
+            rows.append((conv, None if turn == 0 and conv == 4 else turn, rng.choice(["user", "assistant"]), text))
+    rows += [rows[5], rows[5], (9, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/c/*.parquet')")
+    cursor = con.execute(ORACLES["op2_quotation_linking"])
+    names = [c[0] for c in cursor.description]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    want = sorted((tuple(r) for r in cursor.fetchall()), key=key)
+    got = sorted((tuple(r[n] for n in names) for r in quotes.linked(spark.read.parquet(str(tmp_path / "c"))).collect()), key=key)
+    assert got == want and sum(r[names.index("linked")] for r in got) > 10 and any(r[names.index("foreign_conv")] is not None for r in got)
+
+
 def test_places_and_last_values(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, 1, 1, 1, 2, 3]), rng.randint(0, 50), rng.choice([None, rng.randint(0, 9)])) for i in range(500)]
