@@ -211,23 +211,26 @@ def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact:
     masked patterns, and numbers of sensitive columns only a shape.  Categories come back
     under rank labels, unless their column is in ``keep_values`` and its values pass the
     checks.  Two jobs in all: one aggregation of every column, one count of the values of
-    all category columns and the patterns of all sensitive ones.
+    all category columns and the patterns of all sensitive ones; two more for exact
+    distinct counts and percentiles.
     """
     types = {c: parse.logical_type(df.schema[c].dataType) for c in df.columns}
-    measures = [F.count("*").alias("n")]
+    measures, ordered = [F.count("*").alias("n")], []
     for i, c in enumerate(df.columns):
         x, kind = q(c), types[c]
-        measures += [F.count(x).alias(f"c{i}"), (F.count_distinct(x) if exact else F.approx_count_distinct(x)).alias(f"d{i}")]
+        measures.append(F.count(x).alias(f"c{i}"))
+        ordered.append((F.count_distinct(x) if exact else F.approx_count_distinct(x)).alias(f"d{i}"))
         if kind in ("integer", "float"):
             d = x.cast("double")
             measures += [
                 F.min(d).alias(f"lo{i}"),
                 F.max(d).alias(f"hi{i}"),
-                (F.percentile(d, [0.05, 0.95]) if exact else F.percentile_approx(d, [0.05, 0.95], 10_000)).alias(f"p{i}"),
                 F.max(F.when(d != 0, F.floor(F.log10(F.abs(d))))).cast("int").alias(f"m{i}"),
                 F.coalesce(F.bool_or(d < 0), F.lit(False)).alias(f"neg{i}"),
                 F.coalesce(F.bool_or(d > 0), F.lit(False)).alias(f"pos{i}"),
             ]
+            if not exact:
+                ordered.append(F.percentile_approx(d, list(PERCENTILES), 10_000).alias(f"p{i}"))
         elif kind == "boolean":
             measures.append(F.avg(x.cast("int")).alias(f"t{i}"))
         elif kind in ("date", "datetime"):
@@ -236,7 +239,12 @@ def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact:
             v = privacy.value_type(x)
             measures += [F.min(F.length(x)).alias(f"lo{i}"), F.max(F.length(x)).alias(f"hi{i}")]
             measures += [F.count_if(v == k).alias(f"{k}{i}") for k in ("secret", "email", "ssn", "phone")]
-    got = df.agg(*measures).first().asDict()
+    got = df.agg(*measures, *(() if exact else ordered)).first().asDict()
+    if exact:
+        # exact distinct counts multiply rows by columns: nothing else is measured there
+        got |= df.agg(*ordered).first().asDict()
+        numbers = {c: i for i, c in enumerate(df.columns) if types[c] in ("integer", "float")}
+        got |= {f"p{numbers[r['column_name']]}": (r["p05"], r["p95"]) for r in _exact_summary(df, list(numbers)).collect()} if numbers else {}
     total, fields, category, masked = got["n"], [], [], []
     for i, c in enumerate(df.columns):
         held, distinct, kind = got[f"c{i}"], got[f"d{i}"], types[c]
