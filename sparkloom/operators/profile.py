@@ -18,6 +18,8 @@ from sparkloom.model import Entity, Field
 MOST_CATEGORIES, MOST_PATTERNS, SAMPLE = 20, 10, 100
 #: Percentiles of a numeric profile, and the share of rows on either side that an exact one puts in order.
 PERCENTILES, BAND = (0.05, 0.95), 0.0005
+#: Fewer values than this are all put in order.
+FEW = 100_000
 IDENTIFIER_UNIQUE = 0.98
 
 
@@ -84,10 +86,14 @@ def _exact_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     cuts = {f"p{i}": p for i, p in enumerate(PERCENTILES)}
     around = [x for p in PERCENTILES for x in (max(0.0, p - BAND), min(1.0, p + BAND))]
-    sketched = df.agg(*(F.percentile_approx(q(n).cast("double"), around, 10_000).alias(f"a{i}") for i, n in enumerate(columns)))
-    brackets = melted(sketched, {n: [("at", F.col(f"a{i}"))] for i, n in enumerate(columns)})
-    ends = F.array(*(F.struct(F.lit(c).alias("cut"), F.lit(p).alias("p"), F.col("at")[2 * i].alias("lo"), F.col("at")[2 * i + 1].alias("hi")) for i, (c, p) in enumerate(cuts.items())))
-    ends = brackets.where("at IS NOT NULL").select("column_name", F.inline(ends))
+    sketched = df.agg(
+        *(x.alias(f"{k}{i}") for i, n in enumerate(columns) for k, x in (("a", F.percentile_approx(q(n).cast("double"), around, 10_000)), ("n", F.count(q(n))), ("lo", F.min(q(n).cast("double"))), ("hi", F.max(q(n).cast("double")))))
+    )
+    brackets = melted(sketched, {n: [(k, F.col(f"{k}{i}")) for k in ("a", "n", "lo", "hi")] for i, n in enumerate(columns)})
+    # of few values all are put in order: a bracket must hold the ranks on both sides of a percentile
+    end = lambda i, bound: F.when(F.col("n") < FEW, F.col(bound)).otherwise(F.col("a")[i]).alias(bound)
+    ends = F.array(*(F.struct(F.lit(c).alias("cut"), F.lit(p).alias("p"), end(2 * i, "lo"), end(2 * i + 1, "hi")) for i, (c, p) in enumerate(cuts.items())))
+    ends = brackets.where("n > 0").select("column_name", F.inline(ends))
     held = counted.where("v IS NOT NULL").join(F.broadcast(ends), "column_name")  # a row for each column and percentile
     key = ["column_name", "cut"]
     below = held.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("lo"), F.col("n"))), F.lit(0)).alias("below"), F.sum("n").alias("total"), F.first("p").alias("p"))

@@ -642,3 +642,17 @@ def test_exact_summary(spark):
     assert {(r["row_count"], r["null_ratio"]) for r in profile.numeric_summary(df.limit(0), ["a", "b"], exact=True).collect()} == {(0, 0.0)}
     fast = {r["column_name"]: r for r in profile.numeric_summary(df, ["b"]).collect()}
     assert (fast["b"]["row_count"], fast["b"]["min_value"]) == (4, 5.0)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+@pytest.mark.parametrize("n", [1, 2, 4, 19, 20, 21, 4000, 50_000])
+def test_exact_percentiles(spark, monkeypatch, n, few):
+    """Percentiles of small and of bracketed columns are those of a sort."""
+    if few == 0 and n < 20_000:
+        pytest.skip("a bracket needs its ranks")
+    monkeypatch.setattr(profile, "FEW", few)
+    values = [float((i * 7919) % 1013 - 200) for i in range(n)]
+    df = spark.createDataFrame([(v, None) for v in values] + [(None, None)], "a double, b bigint")
+    got = {r["column_name"]: r for r in profile.numeric_summary(df, ["a", "b"], exact=True).collect()}
+    want = df.agg(F.percentile("a", [0.05, 0.95]).alias("p")).first()["p"]
+    assert [got["a"]["p05"], got["a"]["p95"]] == want and got["b"]["p05"] is None and got["a"]["distinct_count"] == len(set(values))
