@@ -18,7 +18,7 @@ from sparkloom.sources import catalog, query_source, readers, writers
 
 def values(columns: str, rows: list[tuple]) -> str:
     """SQL of constant rows."""
-    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::BIGINT" if isinstance(v, int) else str(v) if isinstance(v, float) else "'" + str(v).replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
 
 
