@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import tempfile
+import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from sparkloom.functions.draws import ROW
 from sparkloom.model import Dataset, Entity, Field, Relationship, SpecError
 from sparkloom.operators import profile
 from sparkloom.plans.profiling import table
-from sparkloom.shared import fresh_path
+from sparkloom.shared import SETTING, file_system, fresh_path
 from sparkloom.sources import catalog, query_source, readers, writers
 
 
@@ -234,6 +236,47 @@ def cache(s, d):
 # databases and catalogs
 
 
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def shipped(s, df, name: str) -> str:
+    """URL of a Derby database of one table that the driver and every executor can open.
+
+    A database in memory, or in a folder, belongs to the one process that opened it.  This one is
+    filled by the driver, from files that the executors wrote, and then packed: any number of
+    processes may read a database in an archive.  Pages are stored as they are, to be found by place.
+    """
+    jvm, packed = s.sparkContext._jvm, fresh_path(s, f"{name}-database") + ".jar"
+    jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    at, fs = file_system(s, packed)
+    if fs.getScheme() != "file":
+        raise RuntimeError(f"{SETTING} must be a folder of files for an embedded database")
+    rows = fresh_path(s, f"{name}-rows")
+    df.write.option("escape", '"').csv(rows)
+    with tempfile.TemporaryDirectory() as own:  # the driver's own, while the database is filled
+        own = Path(own).resolve()
+        url = f"jdbc:derby:{own}/db"
+        s.createDataFrame([], df.schema).write.format("jdbc").options(url=f"{url};create=true", dbtable=name, **DERBY).save()  # no rows, no task
+        session = jvm.java.sql.DriverManager.getConnection(url)
+        load = session.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        load.setString(1, name.upper())
+        for f in sorted(x.getPath().toUri().getPath() for x in fs.listStatus(file_system(s, rows)[0]) if x.getPath().getName().startswith("part-")):
+            load.setString(2, f)
+            load.execute()
+        session.close()
+        try:
+            jvm.java.sql.DriverManager.getConnection(f"{url};shutdown=true")
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() != "08006":  # what a shutdown that went well says
+                raise
+        with zipfile.ZipFile(own / "db.jar", "w", zipfile.ZIP_STORED) as out:
+            for f in sorted((own / "db").rglob("*")):
+                out.write(f, f.relative_to(own))
+        fs.copyFromLocalFile(file_system(s, f"file://{own}/db.jar")[0], at)
+    fs.delete(file_system(s, rows)[0], True)
+    return f"jdbc:derby:jar:({at.toUri().getPath()})db"
+
+
 def jdbc(s, d):
     """Customers out of a database, read in four ranges of the key."""
     url = "jdbc:derby:memory:sparkloom;create=true"
@@ -251,15 +294,13 @@ def database(s, d):
     from sparkloom.sources.budget import WorkBudget
     from sparkloom.sources.databases import Database, keys_of
 
-    url, driver = "jdbc:derby:memory:sparkloomnations;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    s.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    table(s, d, "nation").select("n_nationkey", "n_regionkey").write.mode("overwrite").format("jdbc").options(url=url, dbtable="nations", **driver).save()
+    url = shipped(s, table(s, d, "nation").select("n_nationkey", "n_regionkey"), "nations")
     sql = 'SELECT "n_regionkey", count(*) AS "n" FROM nations GROUP BY "n_regionkey"'
-    held = Database(s, url, driver, WorkBudget({"statements": 2, "rows": 100, "cells": 1000}))
+    held = Database(s, url, DERBY, WorkBudget({"statements": 2, "rows": 100, "cells": 1000}))
     rows = [(f"region {r[0]}", int(r[1])) for r in held.rows(sql)]
     tries = [
         ("write", lambda: held.query("DELETE FROM nations")), ("second", lambda: held.query(sql)), ("third", lambda: held.query(sql)),
-        ("rows", lambda: Database(s, url, driver, WorkBudget({"rows": 3})).rows(sql)), ("two statements", lambda: held.query("SELECT 1; SELECT 2")),
+        ("rows", lambda: Database(s, url, DERBY, WorkBudget({"rows": 3})).rows(sql)), ("two statements", lambda: held.query("SELECT 1; SELECT 2")),
     ]
     opened = Database(s, "jdbc:postgresql://host/db", budget=WorkBudget({"seconds": 9.0}, clock=lambda: 0.0)).session()
     rows += [(n, int(r)) for n, r in refusals(s, tries)] + [("read only", int("READ ONLY" in opened["sessionInitStatement"])), ("timeout", int(opened["queryTimeout"]))]
