@@ -279,13 +279,10 @@ def shipped(s, df, name: str) -> str:
 
 def jdbc(s, d):
     """Customers out of a database, read in four ranges of the key."""
-    url = "jdbc:derby:memory:sparkloom;create=true"
-    s.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
     held = table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    held.write.mode("overwrite").format("jdbc").options(url=url, dbtable="customers", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
-    ends = held.agg(F.min("c_custkey"), F.max("c_custkey")).first()
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    back = readers.jdbc(s, url, 'SELECT "c_custkey", "c_nationkey", "c_acctbal" FROM customers WHERE "c_acctbal" >= 0', driver, {"column": "c_custkey", "low": ends[0], "high": ends[1], "n": 4})
+    url, ends = shipped(s, held, "customers"), held.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    ranges = None if ends[0] is None else {"column": "c_custkey", "low": ends[0], "high": ends[1], "n": 4}
+    back = readers.jdbc(s, url, 'SELECT "c_custkey", "c_nationkey", "c_acctbal" FROM customers WHERE "c_acctbal" >= 0', DERBY, ranges)
     return back.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 

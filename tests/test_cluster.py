@@ -42,7 +42,7 @@ def on_executors(name: str, sf: str, tmp_path: Path) -> tuple[list[str], list[li
     return json.loads(found[0].removeprefix("ROWS "))
 
 
-@pytest.mark.parametrize("name", ["database_source"])
+@pytest.mark.parametrize("name", ["database_source", "jdbc_customers"])
 def test_a_database_reaches_the_executors(sf, tmp_path, name):
     columns, got = on_executors(name, sf, tmp_path)
     con = duckdb.connect()
