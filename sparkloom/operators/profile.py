@@ -42,10 +42,14 @@ def melted(wide: DataFrame, parts: dict[str, list[tuple[str, Column]]]) -> DataF
     return wide.select(F.inline(rows))
 
 
-def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
-    """column_name, row_count, non_null, null_ratio, distinct_count, min, max, p05, p95."""
+def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False, fused: bool = False) -> DataFrame:
+    """column_name, row_count, non_null, null_ratio, distinct_count, min, max, p05, p95.
+
+    Exact percentiles are those of Spark's ``percentile``, or with ``fused`` those of DuckDB's
+    ``quantile_cont``: its interpolation is a fused multiply-add, so the last place may differ.
+    """
     if exact:
-        return _exact_summary(df, columns)
+        return _exact_summary(df, columns, fused)
     measures, parts = [F.count("*").alias("n")], {}
     for i, name in enumerate(columns):
         c = q(name).cast("double")
@@ -69,7 +73,7 @@ def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> D
     return melted(df.agg(*measures), parts)
 
 
-def _exact_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+def _exact_summary(df: DataFrame, columns: list[str], fused: bool) -> DataFrame:
     """Values are counted first, map-side too; all measures come from values with their counts.
 
     A percentile needs an order.  Sketches bracket each one first, so that only the values
@@ -96,16 +100,29 @@ def _exact_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     ends = brackets.where("n > 0").select("column_name", F.inline(ends))
     held = counted.where("v IS NOT NULL").join(F.broadcast(ends), "column_name")  # a row for each column and percentile
     key = ["column_name", "cut"]
-    below = held.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("lo"), F.col("n"))), F.lit(0)).alias("below"), F.sum("n").alias("total"), F.first("p").alias("p"))
-    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("v"))
-    band = held.where("v BETWEEN lo AND hi").select(*key, "v", upto.alias("upto")).join(F.broadcast(below), key)
-    place, reached = F.col("p") * (F.col("total") - 1), F.col("below") + F.col("upto")
-    found = band.groupBy(*key).agg(
-        F.min(F.when(reached > F.floor(place), F.col("v"))).alias("a"), F.min(F.when(reached > F.ceil(place), F.col("v"))).alias("b"), F.first(place).alias("place")
+    some = lambda where, measure: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).alias(measure)
+    below = held.groupBy(*key).agg(
+        some(F.col("v") < F.col("lo"), "below"), some(F.col("v") <= F.col("hi"), "inside"), F.sum("n").alias("total"),
+        F.first("p").alias("p"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("v").alias("least"), F.max("v").alias("most"),
+    ).withColumn("place", F.col("p") * (F.col("total") - 1))
+    # a sketch may err: where its bracket misses a rank, the whole column is put in order
+    holds = (F.col("below") <= F.floor("place")) & (F.col("inside") > F.ceil("place"))
+    below = below.select(
+        *key, "place", F.when(holds, F.col("below")).otherwise(0).alias("below"), F.when(holds, F.col("lo")).otherwise(F.col("least")).alias("lo"), F.when(holds, F.col("hi")).otherwise(F.col("most")).alias("hi")
+    )
+    band = held.drop("lo", "hi").join(F.broadcast(below), key).where("v BETWEEN lo AND hi")
+    place, reached = F.col("place"), F.col("below") + F.sum("n").over(Window.partitionBy(*key).orderBy("v"))
+    found = band.select(*key, "v", "place", reached.alias("reached")).groupBy(*key).agg(
+        F.min(F.when(F.col("reached") > F.floor(place), F.col("v"))).alias("a"), F.min(F.when(F.col("reached") > F.ceil(place), F.col("v"))).alias("b"), F.first("place").alias("place")
     )
     a, b, at = F.col("a"), F.col("b"), F.col("place")
-    value = F.when((a == b) | (F.floor(at) == F.ceil(at)), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b)
-    wide = found.groupBy("column_name").agg(*(F.max(F.when(F.col("cut") == c, value)).alias(c) for c in cuts))
+    up, down = at - F.floor(at), F.ceil(at) - at
+    if fused:
+        value = F.when(up == 0, a).otherwise(F.java_method(F.lit("java.lang.Math"), F.lit("fma"), a, down, b * up).cast("double"))
+    else:
+        value = F.when((a == b) | (up == 0), a).otherwise(down * a + up * b)
+    found = found.withColumn("value", value)
+    wide = found.groupBy("column_name").agg(*(F.max(F.when(F.col("cut") == c, F.col("value"))).alias(c) for c in cuts))
     names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))  # an empty table has its rows too
     out = names.join(plain, "column_name", "left").join(wide, "column_name", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "non_null", "distinct_count")})
     return out.select(
@@ -250,7 +267,7 @@ def profile(df: DataFrame, name: str, keep_values: tuple[str, ...] = (), exact:
         # exact distinct counts multiply rows by columns: nothing else is measured there
         got |= df.agg(*ordered).first().asDict()
         numbers = {c: i for i, c in enumerate(df.columns) if types[c] in ("integer", "float")}
-        got |= {f"p{numbers[r['column_name']]}": (r["p05"], r["p95"]) for r in _exact_summary(df, list(numbers)).collect()} if numbers else {}
+        got |= {f"p{numbers[r['column_name']]}": (r["p05"], r["p95"]) for r in _exact_summary(df, list(numbers), True).collect()} if numbers else {}
     total, fields, category, masked = got["n"], [], [], []
     for i, c in enumerate(df.columns):
         held, distinct, kind = got[f"c{i}"], got[f"d{i}"], types[c]

@@ -179,8 +179,8 @@ def category_labels(spark, d):
 
 
 PROFILING = [
-    ("column_profile_lineitem", lambda s, d: profile.numeric_summary(table(s, d, "lineitem"), LINEITEM, exact=True), _numeric_sql("lineitem", LINEITEM)),
-    ("column_profile_orders", lambda s, d: profile.numeric_summary(table(s, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], exact=True), _numeric_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"])),
+    ("column_profile_lineitem", lambda s, d: profile.numeric_summary(table(s, d, "lineitem"), LINEITEM, exact=True, fused=True), _numeric_sql("lineitem", LINEITEM)),
+    ("column_profile_orders", lambda s, d: profile.numeric_summary(table(s, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], exact=True, fused=True), _numeric_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"])),
     ("row_count_events", lambda s, d: profile.row_count(table(s, d, "events")), "SELECT count(*) AS row_count FROM events"),
     ("numeric_shape_lineitem", lambda s, d: profile.numeric_shape(table(s, d, "lineitem"), LINEITEM), _shape_sql("lineitem", LINEITEM)),
     ("numeric_shape_balances", lambda s, d: profile.numeric_shape(table(s, d, "customer"), ["c_acctbal"]), _shape_sql("customer", ["c_acctbal"])),

@@ -653,3 +653,18 @@ def test_exact_percentiles(spark, monkeypatch, n, few):
     got = {r["column_name"]: r for r in profile.numeric_summary(df, ["a", "b"], exact=True).collect()}
     want = df.agg(F.percentile("a", [0.05, 0.95]).alias("p")).first()["p"]
     assert [got["a"]["p05"], got["a"]["p95"]] == want and got["b"]["p05"] is None and got["a"]["distinct_count"] == len(set(values))
+
+
+@pytest.mark.parametrize("n, band", [(4, None), (130, None), (286, None), (3000, None), (3000, -0.01)])
+def test_percentiles_of_the_sql(spark, monkeypatch, n, band):
+    """To the last place those of DuckDB, also where a bracket misses the rank."""
+    import duckdb
+
+    if band is not None:
+        monkeypatch.setattr(profile, "FEW", 0)
+        monkeypatch.setattr(profile, "BAND", band)
+    columns = {f"c{k}": [float((i * 7919) % 1013 - 200) / (1, 3, 100)[k % 3] * (1 + k) for i in range(n)] for k in range(6)}
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns))
+    got = {r["column_name"]: (r["p05"], r["p95"]) for r in profile.numeric_summary(df, list(columns), exact=True, fused=True).collect()}
+    quantiles = "SELECT quantile_cont(x, 0.05), quantile_cont(x, 0.95) FROM (SELECT unnest(?::DOUBLE[]) AS x)"
+    assert got == {c: duckdb.execute(quantiles, [v]).fetchone() for c, v in columns.items()}
