@@ -198,3 +198,27 @@ def test_hot_group_is_split(spark, monkeypatch):
     rows = [(i, [float(x) for x in base + rng.standard_normal(16) * 0.01], 1) for i in range(70)]
     got = embedding_dedup.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
     assert {(r["n_links"], r["component_id"]) for r in got} == {(69, 0)}
+
+
+def test_no_filter_of_a_vector_is_cut_off(spark):
+    """Pairs that share a filter, but none of the 20 best of either, are linked."""
+    rng = np.random.default_rng(3)
+    a, r = rng.standard_normal((2, 3000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    b = 0.932 * a + np.sqrt(1 - 0.932**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    code = embedding_dedup.ProductCode(32, *embedding_dedup.code_shape(100))
+
+    def best(x, filters):
+        left, right = (h[0] for h in code._halves(x[None]))
+        return filters[np.argsort(-(left[filters // code.per_half] + right[filters % code.per_half]))[:20]]
+
+    pairs = []
+    for x, y, f, g in zip(a, b, code.decode(a), code.decode(b), strict=True):
+        if len(np.intersect1d(f, g)) and not len(np.intersect1d(best(x, f), best(y, g))):
+            pairs.append((x, y))
+    assert len(pairs) >= 10
+    pairs = pairs[:50]
+    rows = [(2 * i + k, [float(z) for z in v], i) for i, p in enumerate(pairs) for k, v in enumerate(p)]
+    got = embedding_dedup.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(v, 1, v - v % 2) for v, _, _ in rows}
