@@ -57,6 +57,8 @@ SPARE, FEWEST, MOST = 6, 16, 64
 SKETCH, NEAR = 128, 38
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sketch", "<u8", (SKETCH // 64,))])
 SURVIVOR = np.dtype([("id", "<i8"), ("key", "<u8")])
+#: So many links of a group are held against lesser filters one by one.
+FEW_LINKS = 6
 #: Stands for the id in an entry that marks a crowded filter.
 CROWDED = -1
 
@@ -232,16 +234,24 @@ def _by_vector(_: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(entries["id"][begin]), lists, pa.array([keys[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())], names=["id", "keys", "filters"])
 
 
-def _shares_lesser(a: list[np.ndarray], b: list[np.ndarray], f: int) -> np.ndarray:
-    """Whether members of a and b have a filter below f in common."""
-    low_a, low_b = [x[x < f] for x in a], [x[x < f] for x in b]
+def _shares_lesser(a: list[np.ndarray], b: list[np.ndarray], link: np.ndarray) -> np.ndarray:
+    """Which linked members of a and b have a lesser filter in common."""
+    out = np.zeros(link.shape, bool)
+    i, j = np.nonzero(link)
+    if len(i) <= FEW_LINKS:
+        for x, y in zip(i, j, strict=True):
+            out[x, y] = len(np.intersect1d(a[x], b[y], assume_unique=True)) > 0
+        return out
+    rows, cols = np.unique(i), np.unique(j)
+    low_a, low_b = [a[x] for x in rows], [b[y] for y in cols]
     flat_a, flat_b = np.concatenate(low_a), np.concatenate(low_b)
     both = np.intersect1d(flat_a, flat_b)
-    out = np.zeros((len(a), len(b)), bool)
+    met = np.zeros((len(rows), len(cols)), bool)
     for lo in range(0, len(both), 2048):
         part = both[lo : lo + 2048]
         ma, mb = _indicator(low_a, flat_a, part), _indicator(low_b, flat_b, part)
-        out |= (ma @ mb.T) > 0.5
+        met |= (ma @ mb.T) > 0.5
+    out[np.ix_(rows, cols)] = met
     return out
 
 
@@ -256,7 +266,7 @@ def _indicator(rows: list[np.ndarray], flat: np.ndarray, part: np.ndarray) -> np
 
 
 class _Part:
-    """Members of one side of a group: ids, multiplicities, filters and unit vectors."""
+    """Members of one side of a group: ids, multiplicities, filters below the group's and unit vectors."""
 
     def __init__(self, rows: list[tuple]):
         self.ids, self.mult = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
@@ -265,14 +275,16 @@ class _Part:
         self.unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _compared(a: _Part, b: _Part, f: int, threshold: float, same: bool) -> Iterator[tuple]:
+def _compared(a: _Part, b: _Part, threshold: float, same: bool) -> Iterator[tuple]:
     """(id, None, links) and (id, least linked id, 0) of a pair of parts."""
     link = a.unit @ b.unit.T >= threshold
     if same:
         np.fill_diagonal(link, False)
     if not link.any():
         return
-    link &= ~_shares_lesser(a.filters, b.filters, f)
+    link &= ~_shares_lesser(a.filters, b.filters, link)
+    if not link.any():
+        return
     counts = [link @ b.mult, a.mult @ link]
     for side, part in ((0, a), (1, b)) if not same else ((0, a),):
         for i in np.flatnonzero(counts[side]):
@@ -295,18 +307,21 @@ def _compare(threshold: float):
 
     def rows_of(batches):
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "part", "id", "mult", "filters", "embedding")), strict=True)
+            at = np.asarray(batch.column("embedding").offsets)
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            vectors = [flat[x:y] for x, y in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "part", "id", "mult", "filters")), vectors, strict=True)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for (key, p, q), own in groupby(rows_of(batches), key=lambda r: r[:3]):
+        for (_, p, q), own in groupby(rows_of(batches), key=lambda r: r[:3]):
             sides = {p: [], q: []}
             for r in own:
                 sides[r[3]].append(r[4:])
             if not all(sides.values()) or p == q and len(sides[p]) < 2:
                 continue
             a = _Part(sides[p])
-            out += _compared(a, a if p == q else _Part(sides[q]), key & (1 << 64) - 1, threshold, p == q)
+            out += _compared(a, a if p == q else _Part(sides[q]), threshold, p == q)
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
@@ -359,13 +374,13 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dealt = (
         classes.select("id", "mult", "embedding")
         .join(survived.select("id", "keys", "filters"), "id")
-        .select("id", "mult", "embedding", "filters", F.explode("keys").alias("key"))
+        .select("id", "mult", "embedding", "filters", F.posexplode("keys").alias("place", "key"))
         .join(sizes, "key")
         .withColumn("parts", F.ceil(F.col("size") / GROUP).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
-        .select("key", "p", "q", "part", "id", "mult", "filters", "embedding")
+        .selectExpr("key", "p", "q", "part", "id", "mult", "substring(filters, 1, 8 * place) AS filters", "embedding")  # those below key
     )
     key = ["key", "p", "q"]
     found = written(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "a bigint, b bigint, n bigint"), "vector-links")
